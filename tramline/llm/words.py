@@ -46,8 +46,8 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     # doubling: spans of 1, 2, 4, ... words, joined by the bits of k
-    base, span, size, out, done = np.uint64(0x9E3779B97F4A7C15), h, 1, None, 0
-    powers = {1: base}
+    span, size, out, done = h, 1, None, 0
+    powers = {1: np.array([0x9E3779B97F4A7C15], np.uint64)}  # arrays wrap without a warning
     while True:
         if k & size:
             out = span[:n].copy() if out is None else out * powers[size] + span[done : done + n]
