@@ -123,26 +123,26 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, id_col: st
 
     n_blocks, n_chunks = max(1, math.ceil(entries.count() / BLOCK)), max(1, math.ceil(asked.count() / CHUNK))
     rows = entries.select(F.expr(f"cast(pmod(xxhash64(entry), {n_blocks}) as int)").alias("block"), F.explode(F.expr(f"sequence(0, {n_chunks - 1})")).alias("chunk"), "ids", "v")
-    cols = asked.select(F.explode(F.expr(f"sequence(0, {n_blocks - 1})")).alias("block"), F.expr(f"cast(pmod(xxhash64(entry, 7), {n_chunks}) as int)").alias("chunk"), "entry", "v")
+    cols = asked.select(F.explode(F.expr(f"sequence(0, {n_blocks - 1})")).alias("on"), F.expr(f"cast(pmod(xxhash64(entry, 7), {n_chunks}) as int)").alias("of"), F.col("entry").alias("asked"), F.col("v").alias("q"))
 
     def search(block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(block) and len(chunk):
-            index, queries = np.stack(block["v"].to_list()), np.stack(chunk["v"].to_list())
+            index, queries = np.stack(block["v"].to_list()), np.stack(chunk["q"].to_list())
             ids = block["ids"].to_list()
             seen = candidates(index, queries, greatest, tables, hashes, width, probes)
             # hard data make candidates of half a block, so one product of the block is cheaper than picking their rows
             rough = np.where(seen, queries @ index.T, -np.inf)
             margin = 1e-9 * (1 + greatest * np.linalg.norm(queries, axis=1))
             kth = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if rough.shape[1] > k + 1 else np.full(len(rough), -np.inf)
-            for i, entry in enumerate(chunk["entry"].tolist()):
+            for i, entry in enumerate(chunk["asked"].tolist()):
                 found = np.flatnonzero(seen[i] & (rough[i] >= kth[i] - margin[i]))  # all that may tie with the last stay
                 scores = (index[found] * queries[i]).sum(1)
                 best = sorted((-s, int(x)) for s, f in zip(scores.tolist(), found.tolist(), strict=True) for x in ids[f])[: k + 1]
                 out += [(entry, x, -s) for s, x in best]
         return pd.DataFrame(out, columns=["entry", "vec", "score"]).astype({"entry": "int64", "vec": "int64", "score": "float64"})
 
-    found = rows.groupBy("block", "chunk").cogroup(cols.groupBy("block", "chunk")).applyInPandas(search, "entry long, vec long, score double")
+    found = rows.groupBy("block", "chunk").cogroup(cols.groupBy("on", "of")).applyInPandas(search, "entry long, vec long, score double")
     order = [F.desc("score"), F.asc("vec")]
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("entry").orderBy(*order))).where(F.col("place") <= k + 1).groupBy("entry").agg(F.collect_list(F.struct("score", "vec")).alias("best"))
     sorted_best = F.expr(f"slice(array_sort(filter(best, x -> x.vec <> id), (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.vec < b.vec then -1 when a.vec > b.vec then 1 else 0 end), 1, {k})")
