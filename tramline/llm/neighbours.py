@@ -14,7 +14,7 @@ from .store import arrow_rows, written
 
 #: Neighbours of a query; hash tables, hashes in each, bucket width (for vectors scaled to norm 1 at most), buckets
 #: visited in each table.
-NEIGHBOURS, TABLES, HASHES, WIDTH, PROBES = 20, 16, 6, 1.0, 250
+NEIGHBOURS, TABLES, HASHES, WIDTH, PROBES = 20, 16, 6, 1.0, 360
 #: Distinct vectors of an index block and distinct queries of a chunk: one task holds one of each.
 BLOCK, CHUNK = 8192, 1024
 SEED = 20240613
