@@ -19,11 +19,13 @@ from .words import texts
 #: Words whose counts every task holds (the commonest); counts of all others are joined.
 HEAD = 200_000
 #: Words with an output of their own, sizes of embedding and state, classes of the output.
-WORDS, EMBED, STATE, CLASSES = 4096, 16, 24, 64
+WORDS, EMBED, STATE, CLASSES = 4096, 16, 16, 48
 #: Lanes that are learned from side by side, steps that the gradient goes back, step size, passes over disjoint shares.
 LANES, STEPS, RATE, SHARES = 512, 16, 0.08, (1, 3)
 #: Tokens in one chunk for learning and for scoring, and in one window of outputs.
 LEARN_CHUNK, SCORE_CHUNK, OUTPUTS = 1 << 19, 1 << 22, 8192
+#: Outputs stay within this of 0, where their exponentials and the sums of them are finite in single precision.
+LARGEST = np.float32(60)
 #: Different words that a task counts before it hands them on.
 COUNTED = 300_000
 #: Model ids of the end of a text and of a word without an output of its own; words follow in order of frequency.
@@ -95,8 +97,7 @@ class Model:
         """Log probability of each target; with `grad`, adds the gradient of the weighted loss and gives that of h."""
         p = self.p
         cls = self.class_of[target]
-        logits = h @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
+        logits = np.clip(h @ p["wc"] + p["bc"], -LARGEST, LARGEST)
         rows = np.arange(len(h))
         picked = logits[rows, cls]
         np.exp(logits, out=logits)
@@ -119,8 +120,7 @@ class Model:
                 continue
             i = order[a:b]
             hk, n = h[i], np.arange(b - a)
-            logits = hk @ p["wo"][s:e].T + p["bo"][s:e]
-            logits -= logits.max(1, keepdims=True)
+            logits = np.clip(hk @ p["wo"][s:e].T + p["bo"][s:e], -LARGEST, LARGEST)
             own = target[i] - s
             picked = logits[n, own]
             np.exp(logits, out=logits)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .store import arrow_rows, written
 from .words import WordHashes, hashes, mixed, texts, windows
@@ -122,8 +123,8 @@ def laid_out(batch_texts: list[bytes], table: WordHashes):
     return flat, hashes(flat, table), np.repeat(np.arange(len(split)), sizes), np.cumsum(sizes) - sizes
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, `row_hash`, `n_words`, `n_removed` and `kept` (the words left, joined by one space) of every document.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """Id, `row_hash`, `rest` (a struct of the columns `keep`), `n_words`, `n_removed` and `kept` (the words left, joined by one space) of every document.
 
     A word goes if a passage of PASSAGE words around it also starts in a document with a smaller id, judged on the input.
 
@@ -259,9 +260,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = words if not spans else [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 gone.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc", "row_hash", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc", "row_hash", "rest", "n_words", "n_removed", "kept"])
 
-    out = hashed.join(spans, ["doc", "row_hash"], "left").mapInArrow(strip, "doc long, row_hash long, n_words long, n_removed long, kept string")
+    rest = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("boolean")
+    every = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"), rest.alias("rest"))
+    every = every.select("doc", F.xxhash64("text").alias("row_hash"), "text", "rest").join(spans, ["doc", "row_hash"], "left").select("doc", "row_hash", "text", "spans", "rest")
+    schema = StructType([f for f in every.schema.fields if f.name in ("doc", "row_hash", "rest")]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    out = every.mapInArrow(strip, schema)
     return out.withColumnRenamed("doc", id_col)
 
 
