@@ -13,8 +13,9 @@ from .words import WordHashes, hashes, mixed, texts, windows
 
 #: Words of a passage, and of the grams among which a passage's anchor is chosen.
 PASSAGE, GRAM = 50, 10
-#: An anchor with more different surroundings than this is too common: its passages are dealt by their own hash.
-COMMON = 400
+#: An anchor with more different surroundings than this is too common to be dealt as one. Its passages get the least of
+#: their longer grams as anchor; where that is too common as well, passages are matched one by one by their own hash.
+COMMON, LONG_GRAM = 400, 40
 #: Common anchors that are told apart at most (8 bytes each are broadcast); others are merely dealt less evenly.
 MOST_COMMON = 50_000
 
@@ -81,39 +82,45 @@ class SuffixAutomaton:
         return out
 
 
-def runs(h: np.ndarray, doc: np.ndarray):
-    """Runs of consecutive passages with the same anchor: (first window, last window, anchor, hash of its words).
-
-    A passage's anchor is the least hash of its grams, so equal passages have equal anchors wherever they stand. A run
-    has PASSAGE - GRAM + 1 passages at most; its first and last passage then cover it, and their hashes stand for it.
-    """
-    empty = np.empty(0, np.int64)
-    if len(h) < PASSAGE:
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(np.uint64)
-    reach = PASSAGE - GRAM + 1
-    grams = mixed(windows(h, GRAM))
+def passage_anchors(h: np.ndarray, gram: int) -> np.ndarray:
+    """The least hash among the grams of each passage: equal passages have equal anchors wherever they stand."""
+    reach = PASSAGE - gram + 1
+    grams = mixed(windows(h, gram) + np.uint64(gram))
     least, size = grams, 1
     while size * 2 <= reach:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
-    anchor = np.minimum(least[: len(grams) - reach + 1], least[reach - size :][: len(grams) - reach + 1])
+    n = len(grams) - reach + 1
+    return np.minimum(least[:n], least[reach - size :][:n])
+
+
+def cut(anchor: np.ndarray, use: np.ndarray, doc: np.ndarray, passage: np.ndarray, reach: int):
+    """Runs of consecutive passages (those in `use`) with one anchor: first and last passage, anchor, hash of the words.
+
+    A run has `reach` passages at most (longer ones, of periodic text, are cut); its first and last passage then cover
+    it, and their hashes stand for it.
+    """
+    at = np.flatnonzero(use)
+    if not len(at):
+        return at, at, anchor[at], passage[at]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (anchor[at[1:]] != anchor[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]]) | (np.diff(at) > 1)
+    head = np.flatnonzero(fresh)
+    since = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+    fresh |= since % reach == 0
+    head = np.flatnonzero(fresh)
+    first, last = at[head], at[np.append(head[1:], len(at)) - 1]
+    return first, last, anchor[first], mixed(passage[first] * np.uint64(0x9E3779B97F4A7C15) + passage[last] + (last - first).astype(np.uint64))
+
+
+def runs(h: np.ndarray, doc: np.ndarray):
+    """The runs of a batch, as by `cut`, and the hash of each passage."""
     passage = windows(h, PASSAGE)
+    if not len(passage):
+        empty = np.empty(0, np.int64)
+        return empty, empty, passage, passage, passage
     whole = doc[: len(passage)] == doc[PASSAGE - 1 :]
-    fresh = np.ones(len(passage), bool)
-    fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1 : len(passage)] != doc[: len(passage) - 1]) | ~whole[:-1]
-    # long runs (of periodic text) are cut
-    first = np.flatnonzero(fresh)
-    since = np.arange(len(passage)) - np.repeat(first, np.diff(np.append(first, len(passage))))
-    fresh |= since % reach == 0
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(passage)) - 1
-    ok = whole[first]
-    first, last = first[ok], last[ok]
-    # the run's last windows may reach past the document: cut to whole ones
-    stop = np.searchsorted(doc, doc[first], "right") - PASSAGE
-    last = np.minimum(last, stop)
-    content = mixed(passage[first] * np.uint64(0x9E3779B97F4A7C15) + passage[last] + (last - first).astype(np.uint64))
-    return first, last, anchor[first], content, passage
+    return *cut(passage_anchors(h, GRAM), whole, doc, passage, PASSAGE - GRAM + 1), passage
 
 
 def laid_out(batch_texts: list[bytes], table: WordHashes):
@@ -137,8 +144,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The automata thus are built where the documents that need them are dealt, not broadcast to all, which would take time
     in proportion to the square of the corpus. An anchor amid ever different surroundings (the edge of a passage in a
-    third of all documents) is not dealt as one: its passages are, by their own hash, and the automaton of one holds 50
-    words. So an automaton holds COMMON runs of 90 words at most.
+    third of all documents) is not dealt as one; see COMMON and `one_by_one`. So an automaton holds COMMON runs of 90
+    words at most.
 
     Null and empty texts have no words. Documents with a null id lose nothing and take nothing from others. Rows with one
     id don't repeat each other. An empty table gives no rows; other columns aren't read.
@@ -182,12 +189,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = np.minimum(np.searchsorted(pairs, mine), max(len(pairs) - 1, 0))
             ok = pairs[at] == mine if len(pairs) else np.zeros(len(mine), bool)
             first, last, anchor, content = first[ok], last[ok], anchor[ok], content[ok]
-            if len(usual):
+            if len(usual) and len(anchor):
                 hot = usual[np.minimum(np.searchsorted(usual, anchor), len(usual) - 1)] == anchor
-                each = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hot], last[hot], strict=True)]) if hot.any() else np.empty(0, np.int64)
-                own = mixed(passage[each] + np.uint64(0x5851F42D4C957F2D)) if len(each) else np.empty(0, np.uint64)
-                first, last = np.append(first[~hot], each), np.append(last[~hot], each)
-                anchor, content = np.append(anchor[~hot], own.view(np.int64)), np.append(content[~hot], own)
+                use = np.zeros(len(passage) + 1, np.int32)
+                np.add.at(use, first[hot], 1)
+                np.add.at(use, last[hot] + 1, -1)
+                again = cut(passage_anchors(h, LONG_GRAM), np.cumsum(use[:-1]) > 0, doc, passage, PASSAGE - LONG_GRAM + 1)
+                first, last, anchor, content = (np.append(x[~hot], y) for x, y in zip((first, last, anchor, content), (again[0], again[1], again[2].view(np.int64), again[3]), strict=True))
             words = [b" ".join(flat[a : b + PASSAGE]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
             d = doc[first]
             for k in range(0, len(words), 4000):
@@ -240,8 +248,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ready += finish()
         yield from out(ready)
 
-    dealt = distinct.select("anchor", "content", "low", "high", "words").repartition("anchor").sortWithinPartitions("anchor", "low", "content")
+    # anchors that are too common even so: their runs' passages are matched one by one
+    crowded = written(occurrences.select("anchor", "content").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") > COMMON).select("anchor"), "crowded")
+    some = crowded.count() > 0
+    dealt = distinct.join(crowded, "anchor", "left_anti") if some else distinct
+    dealt = dealt.select("anchor", "content", "low", "high", "words").repartition("anchor").sortWithinPartitions("anchor", "low", "content")
     known = dealt.mapInArrow(matched, "anchor long, content long, low long, spans array<struct<s:int,e:int>>")
+    if some:
+        known = known.unionByName(one_by_one(distinct.join(crowded, "anchor", "left_semi")))
     back = occurrences.select("anchor", "content", "doc", "row_hash", "start", "length").join(known, ["anchor", "content"])
     whole = F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("length")).alias("e")))
     shifted = F.expr("transform(spans, x -> struct(x.s + start as s, x.e + start as e))")
@@ -270,6 +284,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("doc", id_col)
 
 
+def one_by_one(distinct: DataFrame) -> DataFrame:
+    """Spans of crowded runs (as `known` in remove_repeats): each passage is an automaton of its own 50 words, by hash."""
+
+    def split(batches):
+        table = WordHashes()
+        for batch in batches:
+            _, h, doc, begin = laid_out(texts(batch.column(4)), table)
+            passage = windows(h, PASSAGE)
+            at = np.flatnonzero(doc[: len(passage)] == doc[PASSAGE - 1 :]) if len(passage) else np.empty(0, np.int64)
+            own = doc[at]
+            take = pa.array(own)
+            yield pa.RecordBatch.from_arrays([pa.array(passage[at].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array((at - begin[own]).astype(np.int32))], ["passage", "anchor", "content", "low", "at"])
+
+    crowd = written(distinct.select("anchor", "content", "low", "high", "words"), "crowd")
+    passages = crowd.mapInArrow(split, "passage long, anchor long, content long, low long, at int")
+    first = passages.groupBy("passage").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("passage", "first")
+    spans = passages.join(first, "passage").where("low > first").groupBy("anchor", "content").agg(F.expr(f"transform(sort_array(collect_list(at)), x -> struct(x as s, x + {PASSAGE} as e))").alias("spans"))
+    out = crowd.select("anchor", "content", "low", "high").join(spans, ["anchor", "content"], "left").where("high > low or spans is not null")
+    return out.select("anchor", "content", "low", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")).alias("spans"))
+
+
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
