@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,6 @@ COUNTED = 300_000
 END, OTHER, FIRST = 0, 1, 2
 
 
-class Ranks(dict):
-    """Word -> place among the commonest; HEAD for all others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return HEAD
-
-
 def class_bounds(weights: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Where classes of outputs start: END and OTHER alone, then words by rank so that classes weigh alike.
 
@@ -58,7 +53,7 @@ class Model:
     def __init__(self, weights: np.ndarray, flat: np.ndarray | None = None):
         """weights: counts of END, OTHER and the words, at least 1 each; the untrained model starts from them."""
         self.bounds = class_bounds(weights)
-        self.class_of = (np.searchsorted(self.bounds, np.arange(len(weights)), "right") - 1).astype(np.int32)
+        self.class_of = (np.searchsorted(self.bounds, np.arange(len(weights)), "right") - 1).astype(np.int16)  # 16 bits: sorted by radix
         shapes = self.shapes(len(weights), len(self.bounds) - 1)
         self.size = sum(math.prod(s) for s in shapes.values())
         if flat is None:
@@ -77,62 +72,79 @@ class Model:
         self.p["b"][:STATE] = -1  # gates that keep the state, to begin with
         return self
 
-    def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """ids, fresh: (steps, lanes) inputs and whether the state starts anew; h: state before. All states, and the last."""
-        p = self.p
-        x = (p["e"] @ p["w"] + p["b"])[ids] if ids.size > 2 * len(p["e"]) or keep is None else p["e"][ids] @ p["w"] + p["b"]
-        out = np.empty((*ids.shape, STATE), np.float32)
-        for t in range(len(ids)):
-            h = h * ~fresh[t][:, None]
-            zr = 1 / (1 + np.exp(-(x[t, :, : 2 * STATE] + h @ p["u"])))
+    def states(self, x: np.ndarray, carry: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """x: (steps, lanes, 3 STATE) inputs; carry: 0 where the state starts anew, else 1; h: state before. All states, and the last."""
+        u, v = self.p["u"], self.p["v"]
+        out = np.empty((*x.shape[:2], STATE), np.float32)
+        for t in range(len(x)):
+            h = h * carry[t]
+            zr = h @ u
+            zr += x[t, :, : 2 * STATE]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r = zr[:, :STATE], zr[:, STATE:]
             rh = r * h
-            c = np.tanh(x[t, :, 2 * STATE :] + rh @ p["v"])
+            c = rh @ v
+            c += x[t, :, 2 * STATE :]
+            np.tanh(c, out=c)
             if keep is not None:
                 keep.append((h, z, r, rh, c))
-            h = out[t] = h + z * (c - h)
+            new = out[t]
+            np.subtract(c, h, out=new)
+            new *= z
+            new += h
+            h = new
         return out, h
 
     def outputs(self, h: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None, grad: dict | None = None):
         """Log probability of each target; with `grad`, adds the gradient of the weighted loss and gives that of h."""
         p = self.p
         cls = self.class_of[target]
-        logits = np.clip(h @ p["wc"] + p["bc"], -LARGEST, LARGEST)
+
+        def softmax(x, w, b, own, rows):
+            """Log probability of `own`, and exponentials with their sums."""
+            x = x @ w
+            x += b
+            np.clip(x, -LARGEST, LARGEST, out=x)
+            picked = x[rows, own]
+            np.exp(x, out=x)
+            total = x.sum(1)
+            return picked - np.log(total), x, total
+
         rows = np.arange(len(h))
-        picked = logits[rows, cls]
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        out = picked - np.log(total)
+        out, x, total = softmax(h, p["wc"], p["bc"], cls, rows)
         dh = None
         if grad is not None:
-            d = logits / total[:, None]
-            d[rows, cls] -= 1
-            d *= weight[:, None]
-            grad["wc"] += h.T @ d
-            grad["bc"] += d.sum(0)
-            dh = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
+            x *= (weight / total)[:, None]
+            x[rows, cls] -= weight
+            grad["wc"] += h.T @ x
+            grad["bc"] += x.sum(0)
+            dh = x @ p["wc"].T
+        # targets in classes of several words, sorted by class
         ends = np.cumsum(np.bincount(cls, minlength=len(self.bounds) - 1))
-        for k in range(len(self.bounds) - 1):
-            a, b = ends[k - 1] if k else 0, ends[k]
+        alone = ends[min(FIRST, len(ends)) - 1]
+        order = np.argsort(cls, kind="stable")[alone:]
+        hs, own, back, gain = h[order], target[order], None, np.zeros(len(order), out.dtype)
+        if grad is not None:
+            back, ws = np.zeros_like(hs), weight[order]
+        for k in range(FIRST, len(self.bounds) - 1):
+            a, b = ends[k - 1] - alone, ends[k] - alone
             s, e = self.bounds[k], self.bounds[k + 1]
             if a == b or e - s == 1:
                 continue
-            i = order[a:b]
-            hk, n = h[i], np.arange(b - a)
-            logits = np.clip(hk @ p["wo"][s:e].T + p["bo"][s:e], -LARGEST, LARGEST)
-            own = target[i] - s
-            picked = logits[n, own]
-            np.exp(logits, out=logits)
-            total = logits.sum(1)
-            out[i] += picked - np.log(total)
+            inside, n = own[a:b] - s, rows[: b - a]
+            gain[a:b], x, total = softmax(hs[a:b], p["wo"][s:e].T, p["bo"][s:e], inside, n)
             if grad is not None:
-                logits /= total[:, None]
-                logits[n, own] -= 1
-                logits *= weight[i][:, None]
-                grad["wo"][s:e] += logits.T @ hk
-                grad["bo"][s:e] += logits.sum(0)
-                dh[i] += logits @ p["wo"][s:e]
+                x *= (ws[a:b] / total)[:, None]
+                x[n, inside] -= ws[a:b]
+                grad["wo"][s:e] += x.T @ hs[a:b]
+                grad["bo"][s:e] += x.sum(0)
+                back[a:b] = x @ p["wo"][s:e]
+        out[order] += gain
+        if grad is not None:
+            dh[order] += back
         return out, dh
 
     def learn(self, tokens: np.ndarray, fresh: np.ndarray, squares: np.ndarray) -> None:
@@ -146,6 +158,7 @@ class Model:
         before[begins] = END
         target, begins, weight, before = (np.ascontiguousarray(x.reshape(lanes, length).T) for x in (target, begins, weight, before))
         begins[0] = True
+        carry = (~begins).astype(np.float32)[:, :, None]
         h, p = np.zeros((lanes, STATE), np.float32), self.p
         for t in range(0, length, STEPS):
             at = slice(t, t + STEPS)
@@ -154,28 +167,37 @@ class Model:
             for name, x in p.items():
                 g[name] = gradient[i : (i := i + x.size)].reshape(x.shape)
             kept: list = []
-            states, h = self.states(before[at], begins[at], h, kept)
+            states, h = self.states(p["e"][before[at]] @ p["w"] + p["b"], carry[at], h, kept)
             w = (weight[at] / max(1.0, float(weight[at].sum()))).ravel()
             _, dh = self.outputs(states.reshape(-1, STATE), target[at].ravel(), w, g)
             dh = dh.reshape(states.shape)
             dx = np.empty((len(kept), lanes, 3 * STATE), np.float32)
             back = np.zeros((lanes, STATE), np.float32)
+            h0s, zs, rs, rhs, cs = (np.stack(x) for x in zip(*kept, strict=True))
+            # what doesn't depend on the gradient is worked out for all steps at once
+            to_c, to_z, to_r, left = zs * (1 - cs * cs), (cs - h0s) * zs * (1 - zs), h0s * rs * (1 - rs), 1 - zs
+            ut, vt = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["v"].T)
             for s in range(len(kept) - 1, -1, -1):
-                h0, z, r, rh, c = kept[s]
-                d = dh[s] + back
-                dc = d * z * (1 - c * c)
-                drh = dc @ p["v"].T
-                dz = d * (c - h0) * z * (1 - z)
-                dr = drh * h0 * r * (1 - r)
-                dx[s, :, :STATE], dx[s, :, STATE : 2 * STATE], dx[s, :, 2 * STATE :] = dz, dr, dc
-                g["v"] += rh.T @ dc
-                g["u"] += h0.T @ dx[s, :, : 2 * STATE]
-                back = (d * (1 - z) + drh * r + dx[s, :, : 2 * STATE] @ p["u"].T) * ~begins[t + s][:, None]
+                d = dh[s]
+                d += back
+                dxs = dx[s]
+                dc = np.multiply(d, to_c[s], out=dxs[:, 2 * STATE :])
+                drh = dc @ vt
+                np.multiply(d, to_z[s], out=dxs[:, :STATE])
+                np.multiply(drh, to_r[s], out=dxs[:, STATE : 2 * STATE])
+                drh *= rs[s]
+                d *= left[s]
+                back = dxs[:, : 2 * STATE] @ ut
+                back += d
+                back += drh
+                back *= carry[t + s]
+            g["v"] += rhs.reshape(-1, STATE).T @ dx[:, :, 2 * STATE :].reshape(-1, STATE)
+            g["u"] += h0s.reshape(-1, STATE).T @ dx[:, :, : 2 * STATE].reshape(-1, 2 * STATE)
             flat, ids = dx.reshape(-1, 3 * STATE), before[at].ravel()
             g["b"] += flat.sum(0)
             g["w"] += p["e"][ids].T @ flat
             de = flat @ p["w"].T
-            order = np.argsort(ids, kind="stable")
+            order = np.argsort(ids.astype(np.uint16), kind="stable")  # as above; there are WORDS ids at most
             cut = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
             g["e"][ids[order][cut]] += np.add.reduceat(de[order], cut, axis=0)
             squares += gradient * gradient
@@ -191,30 +213,41 @@ class Model:
             heapq.heappush(heap, (n + len(docs[i]), k))
         own.sort(key=lambda k: -sum(len(docs[i]) for i in k))
         sizes = [sum(len(docs[i]) for i in k) for k in own]
-        target = [np.concatenate([docs[i] for i in k]) if k else np.empty(0, np.int32) for k in own]
-        begins = []
-        for k, size in zip(own, sizes, strict=True):
-            b = np.zeros(size, bool)
-            b[np.cumsum([0, *(len(docs[i]) for i in k)])[:-1]] = True
-            begins.append(b)
+        # lanes as columns, where that doesn't take much more room than the tokens; else window by window
         logs = [np.empty(n) for n in sizes]
-        h, t = np.zeros((lanes, STATE), np.float32), 0
-        while t < max(sizes, default=0):
-            active = int(np.searchsorted(-np.array(sizes), -t, "left"))  # lanes are sorted by length
-            steps = min(max(STEPS, OUTPUTS // active), sizes[0] - t)
-            ids, fresh = np.zeros((steps, active), np.int32), np.zeros((steps, active), bool)
+        target = [np.concatenate([docs[i] for i in k]) if k else np.empty(0, np.int32) for k in own]
+        begins = [starts([docs[i] for i in k]) for k in own]
+        square = sizes[0] * lanes <= 4 * sum(sizes) + 10**6
+
+        def columns(t: int, steps: int, active: int) -> tuple[np.ndarray, np.ndarray]:
+            ids, fresh = np.zeros((active, steps), np.int32), np.zeros((active, steps), bool)
             for k in range(active):
                 part = target[k][t : t + steps]
-                ids[: len(part), k], fresh[: len(part), k] = part, begins[k][t : t + steps]
-            last = np.array([target[k][t - 1] if t else END for k in range(active)], np.int32)
-            before = np.concatenate([last[None], ids[:-1]])
+                ids[k, : len(part)], fresh[k, : len(part)] = part, begins[k][t : t + steps]
+            return np.ascontiguousarray(ids.T), np.ascontiguousarray(fresh.T)
+
+        if square:
+            all_ids, all_fresh = columns(0, sizes[0], lanes)
+            all_logs = np.empty(all_ids.shape, np.float32)
+        h, t, inputs = np.zeros((lanes, STATE), np.float32), 0, self.p["e"] @ self.p["w"] + self.p["b"]
+        last = np.full(lanes, END, np.int32)
+        while t < sizes[0]:
+            active = int(np.searchsorted(-np.array(sizes), -t, "left"))  # lanes are sorted by length
+            steps = min(max(2 * STEPS, OUTPUTS // active), sizes[0] - t)
+            ids, fresh = (all_ids[t : t + steps, :active], all_fresh[t : t + steps, :active]) if square else columns(t, steps, active)
+            before = np.concatenate([last[None, :active], ids[:-1]])
+            last = ids[-1]
             before[fresh] = END
-            states, h = self.states(before, fresh, h[:active])
-            got, _ = self.outputs(states.reshape(-1, STATE), ids.ravel())
-            got = got.reshape(ids.shape)
-            for k in range(active):
-                logs[k][t : t + steps] = got[: max(0, sizes[k] - t), k]
+            states, h = self.states(inputs[before], (~fresh).astype(np.float32)[:, :, None], h[:active])
+            got = self.outputs(states.reshape(-1, STATE), ids.ravel())[0].reshape(ids.shape)
+            if square:
+                all_logs[t : t + steps, :active] = got
+            else:
+                for k in range(active):
+                    logs[k][t : t + steps] = got[: max(0, sizes[k] - t), k]
             t += steps
+        if square:
+            logs = [np.ascontiguousarray(x[:n], np.float64) for x, n in zip(np.ascontiguousarray(all_logs.T), sizes, strict=True)]
         out = np.zeros(len(docs))
         for k, lane in zip(own, logs, strict=True):
             if k:
@@ -222,6 +255,19 @@ class Model:
         return out
 
 
+#: The words that a Python worker last looked up, by broadcast.
+_table: dict[int, dict[bytes, int]] = {}
+
+
+def places(broadcast, key: int) -> dict[bytes, int]:
+    """Word -> place among the commonest; made once in each Python worker."""
+    if key not in _table:
+        _table.clear()
+        joined, logs = broadcast.value
+        _table[key] = {w: i for i, w in enumerate(joined.split(b" ") if len(logs) > 1 else ())}
+    return _table[key]
+
+
 def held_out(id_col: str):
     """Documents that the model doesn't learn from: crc32 of the id as text leaves 2 when divided by 7. A null id: no text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -265,23 +311,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = written(lessons.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(b" "), F.col("n"))).alias("ends")).first()
     n_all, n_distinct, ends = total["n"] or 0, total["v"], total["ends"] or 0
-    top = counts.where(F.col("word") != F.lit(b" ")).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    # the commonest words are those above a frequency; frequencies are told apart in 64 steps an octave, 4,096 in all
+    counts = counts.where(F.col("word") != F.lit(b" ")).withColumn("step", F.expr("cast(floor(log2(n) * 64) as int)"))
+    steps = sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True)
+    fits = [step for (step, _), held in zip(steps, np.cumsum([c for _, c in steps]), strict=True) if held <= HEAD]
+    least = fits[-1] if fits else 1 << 30
+    top = counts.where(F.col("step") >= least).select("word", "n").toArrow()
     words, n = top.column("word").to_pylist(), top.column("n").to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    words, n = [words[i] for i in order], n[order]
     modelled = min(len(words), WORDS - FIRST)
     rest, rest_distinct = n_all - ends - int(n[:modelled].sum()), n_distinct - (ends > 0) - modelled
     weights = np.concatenate([[ends, rest], n[:modelled]]).astype(np.float64).clip(1)
     head = sc.broadcast((b" ".join(words), np.log10(np.append(n, 0.0) + 1)))
     more = n_distinct - (ends > 0) > len(words)
 
-    def read_ids(text: bytes, ranks: Ranks):
+    def read_ids(text: bytes, ranks: dict):
+        """Words and their places among the commonest; HEAD for all others."""
         w = text.lower().split()
-        return w, np.fromiter(map(ranks.__getitem__, w), np.int32, len(w))
+        return w, np.fromiter(map(ranks.get, w, repeat(HEAD)), np.int32, len(w))
 
     def modelled_ids(rank: np.ndarray) -> np.ndarray:
         return np.append(np.where(rank < modelled, rank + FIRST, OTHER), END).astype(np.int32)
 
-    def table() -> Ranks:
-        return Ranks((w, i) for i, w in enumerate(head.value[0].split(b" ") if len(head.value[1]) > 1 else ()))
+    key = hash((sc.applicationId, id(head), uuid.uuid4().hex))
+
+    def table() -> dict[bytes, int]:
+        return places(head, key)
 
     def taught(flat: np.ndarray):
         shared = sc.broadcast(flat)
@@ -360,10 +416,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keys = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], ["row", "key"])
 
-    # words beyond the commonest: their counts, but for those that every task has
-    least = int(n[-1]) if len(n) else 0
-    last = words[-1] if words else b""
-    beyond = counts.where(((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(last)))) & (F.col("word") != F.lit(b" ")))
+    # words beyond the commonest have their counts joined
+    beyond = counts.where(F.col("step") < least)
     beyond = beyond.select(F.xxhash64("word").alias("key"), F.log10(F.col("n") + 1).alias("log")).groupBy("key").agg(F.max("log").alias("log"))
     found = scored.select("row", "others").where(F.length("others") > 0).mapInArrow(unpack, "row long, key long")
     added = found.join(beyond, "key").groupBy("row").agg(F.sum("log").alias("log"), F.count(F.lit(1)).alias("known"))
