@@ -1 +1,6 @@
-"""See the modules of this subpackage."""
+"""The queries of the engine; importing this registers them."""
+
+from . import access, routing, tables
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "access", "routing", "tables"]
