@@ -131,6 +131,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, id_col: st
             index, queries = np.stack(block["v"].to_list()), np.stack(chunk["q"].to_list())
             ids = block["ids"].to_list()
             seen = candidates(index, queries, greatest, tables, hashes, width, probes)
+            seen[seen.sum(1) <= k] = True  # a query that meets too few visits the whole block
             # hard data make candidates of half a block, so one product of the block is cheaper than picking their rows
             rough = np.where(seen, queries @ index.T, -np.inf)
             margin = 1e-9 * (1 + greatest * np.linalg.norm(queries, axis=1))
