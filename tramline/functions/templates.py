@@ -71,13 +71,16 @@ def expression(text: str, context: Column) -> Column:
             value = F.coalesce(value, args[1]) if len(args) > 1 else value
         elif name == "put":
             had = F.coalesce(F.from_json(value, "map<string,string>"), F.create_map().cast("map<string,string>"))
-            key = args[0]
-            value = F.to_json(F.map_concat(F.map_filter(had, lambda k, v, key=key: k != key), F.create_map(key, args[1])))
+            value = F.to_json(with_entry(had, *args))
         else:
             raise ValueError(f"unknown function: {name}")
     return value
 
 
+def with_entry(values: Column, key: Column, value: Column) -> Column:
+    return F.map_concat(F.map_filter(values, lambda k, _: k != key), F.create_map(key, value))
+
+
 def variables(template: str) -> list[str]:
     return re.findall(r"\{\{([\w.]+)\}\}", template)
 

@@ -20,26 +20,26 @@ def match_patterns(targets: DataFrame, patterns: DataFrame, target: str = "topic
     an equality on (realm, key): it shuffles, spills and splits skew like any other. Lengths and shapes are joined as
     small tables of their own, which Spark broadcasts only below its threshold.
     """
-    patterns = patterns.withColumnRenamed("realm", "p_realm")
+    patterns = patterns.withColumnRenamed("realm", "__p_realm")
     parts = []
     if "exact" in policies:
         p = patterns.where("policy = 'exact'")
-        parts.append(targets.join(p, (F.col("realm") == F.col("p_realm")) & (F.col(target) == F.col("uri"))))
+        parts.append(targets.join(p, (F.col("realm") == F.col("__p_realm")) & (F.col(target) == F.col("uri"))))
     if "prefix" in policies:
-        p = patterns.where("policy = 'prefix'").withColumn("p_key", F.col("uri").cast("binary"))
-        lengths = p.select(F.col("p_realm").alias("l_realm"), F.octet_length("uri").alias("l")).distinct().groupBy("l_realm").agg(F.sort_array(F.collect_list("l")).alias("lengths"))
-        t = targets.join(lengths, F.col("realm") == F.col("l_realm"))
-        t = t.withColumn("l", F.explode(F.filter("lengths", lambda n: n <= F.octet_length(target)))).withColumn("t_key", F.substring(F.col(target).cast("binary"), F.lit(1), F.col("l")))
-        parts.append(t.join(p, (F.col("realm") == F.col("p_realm")) & (F.col("t_key") == F.col("p_key"))))
+        p = patterns.where("policy = 'prefix'").withColumn("__p_key", F.col("uri").cast("binary"))
+        lengths = p.select(F.col("__p_realm").alias("__l_realm"), F.octet_length("uri").alias("__l")).distinct().groupBy("__l_realm").agg(F.sort_array(F.collect_list("__l")).alias("__lengths"))
+        t = targets.join(lengths, F.col("realm") == F.col("__l_realm"))
+        t = t.withColumn("__l", F.explode(F.filter("__lengths", lambda n: n <= F.octet_length(target)))).withColumn("__t_key", F.substring(F.col(target).cast("binary"), F.lit(1), F.col("__l")))
+        parts.append(t.join(p, (F.col("realm") == F.col("__p_realm")) & (F.col("__t_key") == F.col("__p_key"))))
     if "wildcard" in policies:
-        p = patterns.where("policy = 'wildcard'").withColumn("p_size", F.size(U.components(F.col("uri")))).withColumn("p_degree", U.degree(F.col("uri")))
-        shapes = p.select(F.col("p_realm").alias("s_realm"), F.col("p_size").alias("s_size"), F.col("p_degree").alias("mask")).distinct()
-        t = targets.withColumn("c", U.components(F.col(target))).withColumn("n", F.size("c"))
-        t = t.join(shapes, (F.col("realm") == F.col("s_realm")) & (F.col("n") == F.col("s_size")))
-        t = t.where(F.expr("forall(transform(c, (x, i) -> x <> '' or getbit(mask, n - 1 - i) = 1), x -> x)"))
-        t = t.withColumn("t_key", F.expr("array_join(transform(c, (x, i) -> if(getbit(mask, n - 1 - i) = 1, x, '')), '.')"))
-        parts.append(t.join(p, (F.col("realm") == F.col("p_realm")) & (F.col("t_key") == F.col("uri")) & (F.col("mask") == F.col("p_degree"))))
-    keep = [*targets.columns, *(c for c in patterns.columns if c != "p_realm" and c not in targets.columns)]
+        p = patterns.where("policy = 'wildcard'").withColumn("__p_size", F.size(U.components(F.col("uri")))).withColumn("__p_degree", U.degree(F.col("uri")))
+        shapes = p.select(F.col("__p_realm").alias("__s_realm"), F.col("__p_size").alias("__s_size"), F.col("__p_degree").alias("__mask")).distinct()
+        t = targets.withColumn("__c", U.components(F.col(target))).withColumn("__n", F.size("__c"))
+        t = t.join(shapes, (F.col("realm") == F.col("__s_realm")) & (F.col("__n") == F.col("__s_size")))
+        t = t.where(F.expr("forall(transform(__c, (x, i) -> x <> '' or getbit(__mask, __n - 1 - i) = 1), x -> x)"))
+        t = t.withColumn("__t_key", F.expr("array_join(transform(__c, (x, i) -> if(getbit(__mask, __n - 1 - i) = 1, x, '')), '.')"))
+        parts.append(t.join(p, (F.col("realm") == F.col("__p_realm")) & (F.col("__t_key") == F.col("uri")) & (F.col("__mask") == F.col("__p_degree"))))
+    keep = [*targets.columns, *(c for c in patterns.columns if c != "__p_realm" and c not in targets.columns)]
     return reduce(DataFrame.unionByName, [x.select(*keep) for x in parts])
 
 
