@@ -16,12 +16,13 @@ MESSAGES = {1: ("HELLO", "realm details"), 2: ("WELCOME", "session details"), 3:
 
 def unpacked(text: Column) -> Column:
     """A JSON message array as (type, fields: name -> JSON text). Payload stays text until someone reads it."""
-    code = F.get_json_object(text, "$[0]").cast("int")
-    kind, fields = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
-    for n, (name, names) in MESSAGES.items():
-        pairs = [x for i, f in enumerate(names.split()) for x in (F.lit(f), F.get_json_object(text, f"$[{i + 1}]"))]
-        kind, fields = F.when(code == n, name).otherwise(kind), F.when(code == n, F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())).otherwise(fields)
-    return F.struct(kind.alias("type"), fields.alias("fields"))
+    parts = F.from_json(text, "array<string>")  # parsed once; elements that aren't strings stay JSON text
+    code = F.try_element_at(parts, F.lit(1)).try_cast("int")
+    known = F.create_map(*(x for n, (name, names) in MESSAGES.items() for x in (F.lit(n), F.struct(F.lit(name).alias("type"), F.array(*map(F.lit, names.split())).alias("names")))))
+    kind = F.try_element_at(known, code)
+    n = F.least(F.size(kind["names"]), F.size(parts) - 1)
+    fields = F.map_filter(F.map_from_arrays(F.slice(kind["names"], F.lit(1), n), F.slice(parts, F.lit(2), n)), lambda _, v: v.isNotNull())
+    return F.struct(kind["type"].alias("type"), F.when(kind.isNotNull(), fields).alias("fields"))
 
 
 def exposition(metrics: DataFrame, name: str, value: str, labels: list[str], kind: str = "counter") -> DataFrame:
