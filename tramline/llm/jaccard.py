@@ -15,8 +15,8 @@ from .words import WordHashes, hashes, mixed, texts, windows
 WORDS, PERCENT = 3, 90
 #: Different sets that one task joins; larger regions are cut around pivots, REGION_PIVOTS at a time.
 LIMIT, REGION_PIVOTS = 1000, 16
-#: Parts of a signature beyond those that the bound needs, so that parts without shingles can be left out.
-SPARE = 2
+#: Sets under one key that are compared with each other before regions are formed; more are linked unseen.
+CROWD = 2000
 #: Documents of a region below which all are compared, and pivots of a region inside a task.
 LEAF, PIVOTS = 16, 4
 
@@ -55,26 +55,34 @@ def classes(most: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     return least, apart
 
 
-def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
-    """Keys of each set, such that similar different sets share one.
+def spare(apart: np.ndarray, percent: int) -> np.ndarray:
+    """Parts of a signature beyond those that the bound needs: parts without shingles can be left out, and similar sets
+    agree in at least one more than these."""
+    return np.maximum(2, apart * (100 - percent) // 60)
 
-    Shingles fall in parts by hash. The distance is the sum of the distances in the parts, so of `apart + 1 + SPARE`
-    parts at least 1 + SPARE are equal in similar sets; a key names the class, the part and its shingles. A set with up
-    to SPARE empty parts need not show them: one equal part with shingles is left.
+
+def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> list[list[tuple[np.ndarray, bytes, int]]]:
+    """For each set, as the lesser and as the greater of a pair: its keys, a byte for each part, and how many parts of
+    similar sets are equal at least.
+
+    Shingles fall in parts by hash. The distance is the sum of the distances in the parts, so of `apart + 1 + spare`
+    parts at least 1 + spare are equal in similar sets. A key names the class, the part and its shingles; similar sets
+    that aren't equal share one. A set with up to `spare` empty parts need not show them: one equal part with shingles
+    is left.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    out: list[list] = [[] for _ in sets]
     if not len(flat):
-        return [np.empty(0, np.uint64) for _ in sets]
+        return [[(np.empty(0, np.uint64), b"", 1)] * 2 for _ in sets]
     least, apart = classes(int(sizes.max()), percent)
+    extra = spare(apart, percent)
     own = np.searchsorted(least, sizes, "right") - 1
     value = mixed(flat)
-    out: list[list] = [[] for _ in sets]
     for step in (0, 1):
-        group = own - step  # as the lesser and as the greater of a pair
-        use = (sizes > 0) & (group >= 0)
-        use &= apart[np.maximum(group, 0)] > 0
-        parts = np.where(use, apart[np.maximum(group, 0)] + 1 + SPARE, 0)
+        group = np.maximum(own - step, 0)
+        use = (sizes > 0) & (own >= step) & (apart[group] > 0)
+        parts = np.where(use, apart[group] + 1 + extra[group], 0)
         base = np.cumsum(parts) - parts
         rows = np.repeat(use, sizes)
         salt = mixed(group.astype(np.uint64) + np.uint64(77))
@@ -85,12 +93,11 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarra
         seen[slot] = True
         owner = np.repeat(np.arange(len(sets)), parts)
         key = mixed(total ^ mixed(salt[owner] + (np.arange(len(owner)) - base[owner]).astype(np.uint64)))
-        bare = np.bincount(owner[~seen], minlength=len(sets)) if len(owner) else np.zeros(len(sets), int)
-        show = seen | (bare[owner] > SPARE) if len(owner) else seen
-        cut = np.cumsum(np.bincount(owner[show], minlength=len(sets)))[:-1] if len(owner) else np.zeros(len(sets) - 1, int)
-        for i, keys in enumerate(np.split(key[show], cut)):
-            out[i].append(keys)
-    return [np.concatenate(x) for x in out]
+        show = seen | (np.bincount(owner[~seen], minlength=len(sets))[owner] > extra[group][owner])
+        prints = (key >> np.uint64(56)).astype(np.uint8)
+        for i, (a, n) in enumerate(zip(base.tolist(), parts.tolist(), strict=True)):
+            out[i].append((key[a : a + n][show[a : a + n]], prints[a : a + n].tobytes(), int(extra[group[i]]) + 1))
+    return out
 
 
 class Forest:
@@ -212,7 +219,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     1. Documents with equal sets become one, with the least id; copies are never compared.
     2. Size classes and signatures give coarse regions: sets that could link are in one, by the triangle inequality for
-       the size of the symmetric difference. Cutting the whole corpus around pivots by Jaccard distance instead would
+       the size of the symmetric difference. Sets that share a key count as neighbours if they agree in as many parts as
+       similar sets must. Cutting the whole corpus around pivots by Jaccard distance instead would
        copy every document to every region: unrelated documents are all at distance 1, within any window.
     3. Regions of up to LIMIT sets are joined in a task (`join_region`). Larger ones are cut around pivots over many
        tasks: documents linked to pivots that are linked among themselves are one group and need no comparing; each other
@@ -231,37 +239,67 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sets = shingle_sets(texts(batch.column(1)), table, words)
             whole = [(int(mixed(s).sum()) if len(s) else 0, int(mixed(s ^ np.uint64(0xA5A5A5A5)).sum()) if len(s) else 0) for s in sets]
             one, two = (np.array([x[i] for x in whole], np.uint64).view(np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), pa.array([k.tobytes() for k in signatures(sets, percent)], pa.binary())], ["doc", "n", "one", "two", "keys"])
+            signed = signatures(sets, percent)
+            cols = [pa.array([k.tobytes() for k, _, _ in column], pa.binary()) for column in zip(*signed, strict=True)] + [pa.array([x for _, x, _ in column], pa.binary()) for column in zip(*signed, strict=True)] + [pa.array([n for _, _, n in column], pa.int32()) for column in zip(*signed, strict=True)]
+            cols = cols or [pa.array([], t) for t in (pa.binary(),) * 4 + (pa.int32(),) * 2]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), *cols], ["doc", "n", "one", "two", "keys0", "keys1", "prints0", "prints1", "need0", "need1"])
 
-    described = written(read.mapInArrow(describe, "doc long, n long, one long, two long, keys binary"), "sets")
+    described = written(read.mapInArrow(describe, "doc long, n long, one long, two long, keys0 binary, keys1 binary, prints0 binary, prints1 binary, need0 int, need1 int"), "sets")
     present = described.where("n > 0 and doc is not null")
-    sets = present.groupBy("one", "two", "n").agg(F.min("doc").alias("doc"), F.min("keys").alias("keys"))
+    sets = written(present.groupBy("one", "two", "n").agg(F.min("doc").alias("doc")), "heads")
+    signed = present.join(sets.select("one", "two", "n", "doc"), ["one", "two", "n", "doc"], "left_semi")
 
     def unpack(batches):
         for batch in batches:
-            keys = [np.frombuffer(k, np.int64) for k in batch.column(1).to_pylist()]
-            n = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["key", "doc"])
+            for step in (0, 1):
+                keys = [np.frombuffer(k, np.int64) for k in batch.column(2 + step).to_pylist()]
+                n = [len(k) for k in keys]
+                if sum(n):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(np.repeat(batch.column(i).to_numpy(), n)) for i in (0, 1)), pa.array(np.full(sum(n), step, np.int32))], ["key", "doc", "one", "step"])
 
-    dealt = sets.select("doc", "keys").mapInArrow(unpack, "key long, doc long").repartition("key").sortWithinPartitions("key", "doc")
+    dealt = signed.select("doc", "one", "keys0", "keys1").mapInArrow(unpack, "key long, doc long, one long, step int").repartition("key").sortWithinPartitions("key", "doc")
 
-    def first_of_key(batches):
-        last_key, low = None, None
+    def shared(batches):
+        """Rows whose key has another row; the last row of a batch waits for the next one."""
+        kept, tied = None, False
         for batch in batches:
-            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
+            cols = [c.to_numpy() for c in batch.columns]
+            if kept is not None:
+                cols = [np.append(k, c) for k, c in zip(kept, cols, strict=True)]
+            if not len(cols[0]):
                 continue
-            fresh = np.append(True, key[1:] != key[:-1])
-            lows = doc.copy()
-            if last_key is not None and key[0] == last_key:
-                lows[0] = low
-            lows = lows[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
-            last_key, low = key[-1], lows[-1]
-            pair = np.unique(np.stack([doc, lows], 1)[doc != lows], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["hi", "lo"])
-
-    # one more link for rows with the same id but different sets needs nothing: they are one node
-    coarse = components(dealt.mapInArrow(first_of_key, "hi long, lo long"))
+            same = cols[0][1:] == cols[0][:-1]
+            before = np.append(tied, same)
+            use = np.flatnonzero(before[:-1] | same)
+            yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in cols], ["key", "doc", "one", "step"])
+            kept, tied = [c[-1:] for c in cols], bool(before[-1])
+        if tied:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["key", "doc", "one", "step"])
+
+    meeting = written(dealt.mapInArrow(shared, "key long, doc long, one long, step int"), "meeting")
+    crowds = written(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("lo")).where(F.col("size") > CROWD), "crowds")
+    prints = signed.select("doc", "one", F.explode(F.array(F.struct(F.lit(0).alias("step"), F.col("prints0").alias("prints"), F.col("need0").alias("need")), F.struct(F.lit(1).alias("step"), F.col("prints1").alias("prints"), F.col("need1").alias("need")))).alias("x")).select("doc", "one", "x.*").where(F.length("prints") > 0)
+    few = meeting.join(crowds.select("key"), "key", "left_anti").join(prints, ["doc", "one", "step"]).select("key", "doc", "need", "prints").repartition("key").sortWithinPartitions("key", "doc")
+
+    def agreeing(batches):
+        out: set = set()
+        for _, rows in group_batches(batches, "key"):
+            forest, need = Forest(len(rows)), rows[0][1]
+            ids, parts = [r[0] for r in rows], np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+            left = list(range(len(rows)))
+            while len(left) > 1 and forest.parts > 1:
+                x = left.pop()
+                for y in np.flatnonzero((parts[left] == parts[x]).sum(1) >= need).tolist():
+                    forest.join(x, left[y])
+            out.update(stars(ids, forest))
+            if len(out) > 50000:
+                yield _links(out)
+                out = set()
+        yield _links(out)
+
+    # one node for rows with one id; rows of a crowd are linked unseen, to the least of them
+    unseen = meeting.join(crowds, "key").where("doc <> lo").select(F.col("doc").alias("hi"), "lo")
+    coarse = components(few.mapInArrow(agreeing, "hi long, lo long").unionByName(unseen))
     placed = coarse.select(F.col("node").alias("doc"), F.col("root").alias("region")).unionByName(coarse.select(F.col("root").alias("doc"), F.col("root").alias("region")).distinct())
     sizes = written(placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "sizes")
     many = sizes.where(F.col("size") > LIMIT).count()
