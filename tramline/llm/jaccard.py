@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,52 +235,64 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
 
     def describe(batches):
-        table = WordHashes()
+        table, row = WordHashes(), TaskContext.get().partitionId() << 33
         for batch in batches:
             sets = shingle_sets(texts(batch.column(1)), table, words)
+            rows, row = pa.array(range(row, row + len(sets)), pa.int64()), row + len(sets)
             whole = [(int(mixed(s).sum()) if len(s) else 0, int(mixed(s ^ np.uint64(0xA5A5A5A5)).sum()) if len(s) else 0) for s in sets]
             one, two = (np.array([x[i] for x in whole], np.uint64).view(np.int64) for i in (0, 1))
             signed = signatures(sets, percent)
             cols = [pa.array([k.tobytes() for k, _, _ in column], pa.binary()) for column in zip(*signed, strict=True)] + [pa.array([x for _, x, _ in column], pa.binary()) for column in zip(*signed, strict=True)] + [pa.array([n for _, _, n in column], pa.int32()) for column in zip(*signed, strict=True)]
             cols = cols or [pa.array([], t) for t in (pa.binary(),) * 4 + (pa.int32(),) * 2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), *cols], ["doc", "n", "one", "two", "keys0", "keys1", "prints0", "prints1", "need0", "need1"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), *cols], ["row", "doc", "n", "one", "two", "keys0", "keys1", "prints0", "prints1", "need0", "need1"])
 
-    described = written(read.mapInArrow(describe, "doc long, n long, one long, two long, keys0 binary, keys1 binary, prints0 binary, prints1 binary, need0 int, need1 int"), "sets")
+    described = written(read.mapInArrow(describe, "row long, doc long, n long, one long, two long, keys0 binary, keys1 binary, prints0 binary, prints1 binary, need0 int, need1 int"), "sets")
     present = described.where("n > 0 and doc is not null")
-    sets = written(present.groupBy("one", "two", "n").agg(F.min("doc").alias("doc")), "heads")
-    signed = present.join(sets.select("one", "two", "n", "doc"), ["one", "two", "n", "doc"], "left_semi")
+    sets = written(present.groupBy("one", "two", "n").agg(F.min(F.struct("doc", "row")).alias("h")).select("one", "two", "n", "h.doc", "h.row"), "heads")
 
     def unpack(batches):
         for batch in batches:
             for step in (0, 1):
-                keys = [np.frombuffer(k, np.int64) for k in batch.column(2 + step).to_pylist()]
+                keys = [np.frombuffer(k, np.int64) for k in batch.column(1 + step).to_pylist()]
                 n = [len(k) for k in keys]
                 if sum(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(np.repeat(batch.column(i).to_numpy(), n)) for i in (0, 1)), pa.array(np.full(sum(n), step, np.int32))], ["key", "doc", "one", "step"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column(0).to_numpy() * 2 + step, n))], ["key", "node"])
 
-    dealt = signed.select("doc", "one", "keys0", "keys1").mapInArrow(unpack, "key long, doc long, one long, step int").repartition("key").sortWithinPartitions("key", "doc")
+    dealt = present.select("row", "keys0", "keys1").mapInArrow(unpack, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
 
     def shared(batches):
-        """Rows whose key has another row; the last row of a batch waits for the next one."""
-        kept, tied = None, False
+        """Keys with several nodes, named by their nodes: what similar documents share under many keys is met once."""
+        key, node, large = np.empty(0, np.int64), np.empty(0, np.int64), None
+
+        def out(end: int):
+            head = np.flatnonzero(np.append(True, key[1:end] != key[: end - 1]))
+            size = np.diff(np.append(head, end))
+            name = mixed(np.add.reduceat(mixed(node[:end].astype(np.uint64) + np.uint64(1)), head) + size.astype(np.uint64)).view(np.int64)
+            one = key[head] == large if large is not None else np.zeros(len(head), bool)
+            name[one] = mixed(key[head][one].view(np.uint64)).view(np.int64)
+            use = np.repeat((size > 1) | one, size)
+            pair = np.unique(np.stack([np.repeat(name, size)[use], node[:end][use]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["key", "node"])
+
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            if kept is not None:
-                cols = [np.append(k, c) for k, c in zip(kept, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            same = cols[0][1:] == cols[0][:-1]
-            before = np.append(tied, same)
-            use = np.flatnonzero(before[:-1] | same)
-            yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in cols], ["key", "doc", "one", "step"])
-            kept, tied = [c[-1:] for c in cols], bool(before[-1])
-        if tied:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["key", "doc", "one", "step"])
-
-    meeting = written(dealt.mapInArrow(shared, "key long, doc long, one long, step int"), "meeting")
-    crowds = written(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("lo")).where(F.col("size") > CROWD), "crowds")
-    prints = signed.select("doc", "one", F.explode(F.array(F.struct(F.lit(0).alias("step"), F.col("prints0").alias("prints"), F.col("need0").alias("need")), F.struct(F.lit(1).alias("step"), F.col("prints1").alias("prints"), F.col("need1").alias("need")))).alias("x")).select("doc", "one", "x.*").where(F.length("prints") > 0)
-    few = meeting.join(crowds.select("key"), "key", "left_anti").join(prints, ["doc", "one", "step"]).select("key", "doc", "need", "prints").repartition("key").sortWithinPartitions("key", "doc")
+            key, node = np.append(key, batch.column(0).to_numpy()), np.append(node, batch.column(1).to_numpy())
+            # the last key waits for the next batch; one that grows beyond any crowd is named by itself, and goes on
+            end = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if len(key) - end > 50 * CROWD:
+                large, end = key[-1], len(key)
+            if end:
+                yield from out(end)
+                key, node = key[end:], node[end:]
+        if len(key):
+            yield from out(len(key))
+
+    of_head = sets.select(F.col("row").alias("head"))
+    meeting = dealt.mapInArrow(shared, "key long, node long").distinct()
+    meeting = written(meeting.join(of_head, F.expr("node div 2") == F.col("head"), "left_semi"), "meeting")
+    crowds = written(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > CROWD), "crowds")
+    step = lambda i: F.struct((F.col("row") * 2 + i).alias("node"), F.col(f"prints{i}").alias("prints"), F.col(f"need{i}").alias("need"))
+    nodes = present.select("doc", F.explode(F.array(step(0), step(1))).alias("x")).select("doc", "x.*").where(F.length("prints") > 0)
+    few = meeting.join(crowds.select("key"), "key", "left_anti").join(nodes, "node").select("key", "doc", "need", "prints").repartition("key").sortWithinPartitions("key", "doc")
 
     def agreeing(batches):
         out: set = set()
@@ -297,8 +310,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out = set()
         yield _links(out)
 
-    # one node for rows with one id; rows of a crowd are linked unseen, to the least of them
-    unseen = meeting.join(crowds, "key").where("doc <> lo").select(F.col("doc").alias("hi"), "lo")
+    # rows of a crowd are linked unseen, to the least of them
+    least = nodes.select(F.col("node").alias("least"), F.col("doc").alias("lo"))
+    unseen = meeting.join(crowds, "key").join(nodes.select("node", F.col("doc").alias("hi")), "node").join(least, "least").where("hi <> lo").select("hi", "lo")
     coarse = components(few.mapInArrow(agreeing, "hi long, lo long").unionByName(unseen))
     placed = coarse.select(F.col("node").alias("doc"), F.col("root").alias("region")).unionByName(coarse.select(F.col("root").alias("doc"), F.col("root").alias("region")).distinct())
     sizes = written(placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "sizes")
