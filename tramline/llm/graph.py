@@ -12,8 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """(`hi`, `lo`) links -> (`node`, `root`) for every node but the roots; a root is the least node it can reach.
 
     Alternates two star steps: every node hands its greater neighbours to its least neighbour, then its lesser ones. The
-    links of a round never exceed those of the round before, a node's neighbours are never gathered, and the number of
-    rounds grows with the logarithm of the largest component. Every round is written in the shared folder.
+    links of a round never exceed those of the round before and are never held as a list, but the join sends those of one
+    node to one task unless Spark splits it as skewed. The number of rounds grows with the logarithm of the largest component. Every round is written in the shared folder.
     """
     e = written(links.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi <> lo").distinct(), "links")
     mark = None
