@@ -100,6 +100,24 @@ def test_packing_is_optimal():
         assert sum(window - (at[b] - at[a]) + cost[b] for a, b in zip(path, path[1:])) == best[-1]
 
 
+def test_packing_cuts_at_boundaries():
+    """Windows end at documents and sentences; elsewhere only in stretches longer than a window without either."""
+    sentence = np.zeros(10, bool)
+    sentence[2] = True
+    rng, packer, pieces = np.random.default_rng(6), packing.Packer(sentence, window=64), []
+    docs = [np.array(([5] * int(rng.integers(8, 30)) + [2]) * 4, np.uint32) for _ in range(200)]
+    docs[100] = np.full(300, 5, np.uint32)
+    for i, ids in enumerate(docs):
+        pieces += packer.add(i, ids)
+    pieces += packer.drain(True)
+    last = {}
+    for d, start, ids, total, sequence, _ in pieces:
+        last[sequence] = (d, start + len(ids) // 4 == total or bool(sentence[np.frombuffer(ids, "<u4")[-1]]))
+    ends = [last[s] for s in sorted(last)]
+    inside = [d for d, boundary in ends[:-6] if not boundary]  # the last window is cut into at most six powers of two
+    assert set(inside) == {100} and len(inside) in (4, 5)
+
+
 def test_substring(docs, odd, empty, monkeypatch):
     rows = texts(docs)
     first, want = {}, {}

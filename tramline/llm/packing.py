@@ -17,9 +17,10 @@ from .store import arrow_rows
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW = 1024
-#: Costs of a cut, in tokens of padding: after a document, after a sentence, elsewhere.
-DOCUMENT, SENTENCE, ELSEWHERE = 0, 3, 8
-#: Cuts elsewhere are tried at every so many tokens, so any stretch can be cut.
+#: Costs of a cut, in tokens of padding: after a document, after a sentence.
+DOCUMENT, SENTENCE = 0, 3
+#: Cuts elsewhere cost a whole window each, and are tried only in stretches longer than a window without a document's or
+#: sentence's end: at every so many tokens of them.
 GRID = 32
 #: Tokens that one run of the dynamic program takes, and windows at its end that are left to the next one.
 BLOCK, LEFT = 1 << 19, 8
@@ -87,13 +88,15 @@ class Packer:
         ids = np.concatenate([d[1] for d in self.docs])
         ends = np.cumsum([len(d[1]) for d in self.docs])
         cost = np.full(len(ids) + 1, -1, np.int32)
-        cost[::GRID] = ELSEWHERE
         cost[1:][self.sentence[ids]] = SENTENCE
         cost[ends] = DOCUMENT
         cost[0] = 0
         if last and cost[-1] < 0:
             cost[-1] = 0
         at = np.flatnonzero(cost >= 0)
+        for k in np.flatnonzero(np.diff(at) > self.window).tolist():
+            cost[at[k] + GRID : at[k + 1] : GRID] = self.window
+        at = np.flatnonzero(cost >= 0)
         places = at[cuts(at.tolist(), cost[at].tolist(), self.window)].tolist()
         if not last:
             places = places[: max(2, len(places) - LEFT)]
@@ -127,8 +130,8 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int =
     """Pieces of documents, dealt to sequences of at most `window` ids, in the order of the rows of each partition.
 
     Each document is its ids by the vocabulary and then id 0. Where sequences end is chosen by dynamic programming over
-    document ends, sentence ends and a grid, so that padding plus the costs of cuts are least; the last window of a
-    partition is cut into powers of two. Returns the id, `start` (its ids before the piece), `length`, `ids` (binary,
+    document ends and sentence ends, so that padding plus the costs of cuts are least; only a stretch longer than a window
+    without either is cut elsewhere, as seldom as can be. The last window of a partition is cut into powers of two. Returns the id, `start` (its ids before the piece), `length`, `ids` (binary,
     little-endian unsigned 32-bit), `doc_tokens`, `sequence_id` (unique; partition number * 2^33 + count) and `offset`.
 
     Null texts count as empty: one piece with id 0. Null and repeated ids are kept as they are, each row is a document
