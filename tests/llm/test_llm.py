@@ -223,6 +223,17 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Repeated rows take no places among the least ids of equal vectors: tied queries get exactly the least other ids."""
+    v = np.random.default_rng(9).normal(size=(90, 16)).astype(np.float32)
+    v[40:81] = 4 * v[0]  # 41 ties, ahead of all others
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)] * 2 + [(40, [float(y) for y in v[40]])] * 25
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    for q in (40, 60, 80):
+        own = [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)]
+        assert own == [i for i in range(40, 81) if i != q][:20]
+
+
 def test_quality(docs, odd, empty):
     def brute(t):
         b = t.encode()

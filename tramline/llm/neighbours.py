@@ -112,12 +112,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, id_col: st
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double").withColumnRenamed("vec_id", id_col)
     dim, greatest = shape["dim"], math.sqrt(shape["norm"])
-    usable = usable.where(F.size("v") == dim)
+    usable = usable.where(F.size("v") == dim).distinct()  # before the ids of a vector are numbered, or repeats would take places
 
     least = Window.partitionBy("v").orderBy("id")
     entries = usable.withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     entries = written(entries.withColumn("entry", F.element_at("ids", 1)), "entries")
-    asking = usable.where(F.col("id") % every == 0).distinct().join(entries.select("v", "entry"), "v").select("id", "entry")
+    asking = usable.where(F.col("id") % every == 0).join(entries.select("v", "entry"), "v").select("id", "entry")
     asking = written(asking, "asking")
     asked = entries.join(asking.select("entry").distinct(), "entry", "left_semi").select("entry", "v")
 
