@@ -350,6 +350,13 @@ def test_html(spark):
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_colgroup_without_its_end():
+    for row in ("<tr><td>x", "<tbody><tr><th>x", "<thead><tr><td>x", "<tfoot><tr><td>x", "<colgroup><col><tr><td>x"):
+        assert html.visible_text(f"<table><colgroup><col><col>{row}<td>y</table>z") == "x  y\n\nz"
+    assert html.visible_text("<table><colgroup><col><caption>c</caption><tr><td>x</table>") == "c\nx"
+    assert html.visible_text("<table><colgroup> <col> lost? <tr><td>x</table>") == "lost?\nx"
+
+
 def test_token_counts(docs, odd, empty):
     pieces = tokencount.vocabulary(tokencount.MODEL)
     known, automaton = set(pieces), tokencount.Automaton(pieces)

@@ -31,6 +31,8 @@ ENDS = {
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "legend", "tr", "caption"} | {"hr"}
 P_LIMITS = frozenset("td th caption table button object html body".split())
 HEAD_ONLY = frozenset("base basefont bgsound link meta title script style template noscript head html".split())
+#: Elements that end at whatever they can't hold.
+HOLDS = {"head": HEAD_ONLY, "colgroup": frozenset(["col", "template"])}
 
 TOKEN = re.compile(r"<!--(?:(?!-->).)*(?:-->|\Z)|<(?:!|\?|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -69,8 +71,8 @@ def tree(html: str) -> Node:
                 return None
         return None
 
-    def leave_head(tag: str) -> None:
-        if stack[-1].tag == "head" and tag not in HEAD_ONLY:
+    def leave(tag: str) -> None:
+        if tag not in HOLDS.get(stack[-1].tag, (tag,)):
             stack.pop()
 
     at, size = 0, len(html)
@@ -79,7 +81,7 @@ def tree(html: str) -> Node:
         text = html[at : m.start()] if m else html[at:]
         if text:
             if text.strip():
-                leave_head("")
+                leave("")
             stack[-1].children.append(unescape(text))
         if not m:
             break
@@ -103,7 +105,7 @@ def tree(html: str) -> Node:
             continue
         if tag == "html":
             continue
-        leave_head(tag)
+        leave(tag)
         if tag in CLOSES_P:
             end(frozenset(["p"]), P_LIMITS)
         if tag in ENDS:
