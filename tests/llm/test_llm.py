@@ -284,6 +284,20 @@ def test_language_model(spark, docs, odd, empty, monkeypatch):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_language_model_tells_rare_words_apart(spark, monkeypatch):
+    """Words beyond WORDS are told apart by the model, also those beyond HEAD, and ever more of them in larger corpora."""
+    monkeypatch.setattr(language_model, "WORDS", 12)
+    for head in (200_000, 20):
+        monkeypatch.setattr(language_model, "HEAD", head)
+        rows = [(i, " ".join(f"c{k}" for k in range(10)) + f" a{i % 40} b{i % 40}") for i in range(800)]
+        tested = [(1000 + k, f"a{k} b{k}") for k in range(40)]
+        out = language_model.score_documents(spark.createDataFrame(rows + tested, "doc_id long, text string")).collect()
+        scores = [r.score for r in out if r.doc_id >= 1000]
+        assert len(scores) == 40 and len({round(x, 4) for x in scores}) > 10
+    sizes = [language_model.buckets(10**k) for k in range(9)]
+    assert sizes[0] == 1 and sizes == sorted(set(sizes)) and language_model.buckets(0) == 1
+
+
 def test_language_model_learns():
     """Gradients by differences, one probability for all words, equal scores in any company, and context that is used."""
     weights = np.array([50.0, 30, 20, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1])

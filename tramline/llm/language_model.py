@@ -20,7 +20,7 @@ from .words import texts
 
 #: Words whose counts every task holds (the commonest); counts of all others are joined.
 HEAD = 200_000
-#: Words with an output of their own, sizes of embedding and state, classes of the output.
+#: Ids of words with an input and output of their own (all others share some, see `buckets`), sizes of embedding and state, classes of the output.
 WORDS, EMBED, STATE, CLASSES = 4096, 16, 16, 48
 #: Lanes that are learned from side by side, steps that the gradient goes back, step size, passes over disjoint shares.
 LANES, STEPS, RATE, SHARES = 512, 16, 0.08, (1, 3)
@@ -30,12 +30,23 @@ LEARN_CHUNK, SCORE_CHUNK, OUTPUTS = 1 << 19, 1 << 22, 8192
 LARGEST = np.float32(60)
 #: Different words that a task counts before it hands them on.
 COUNTED = 300_000
-#: Model ids of the end of a text and of a word without an output of its own; words follow in order of frequency.
+#: Model ids of the end of a text and of the first bucket of words without an output of their own; words with one follow
+#: in order of frequency, then the other buckets.
 END, OTHER, FIRST = 0, 1, 2
 
 
+def buckets(distinct: int) -> int:
+    """Buckets by hash for so many words without an output of their own: a power of two near twice the root of them."""
+    return 1 << round(math.log2(2 * math.sqrt(max(distinct, 1)))) if distinct > 1 else 1
+
+
+def hashes_of(words) -> np.ndarray:
+    """What Spark's xxhash64 gives, as unsigned integers."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in words), np.uint64)
+
+
 def class_bounds(weights: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """Where classes of outputs start: END and OTHER alone, then words by rank so that classes weigh alike.
+    """Where classes of outputs start: END and OTHER alone, then words by rank and buckets, so that classes weigh alike.
 
     A word weighs the root of its frequency, so that common words are in small classes and no class grows long.
     """
@@ -197,7 +208,7 @@ class Model:
             g["b"] += flat.sum(0)
             g["w"] += p["e"][ids].T @ flat
             de = flat @ p["w"].T
-            order = np.argsort(ids.astype(np.uint16), kind="stable")  # as above; there are WORDS ids at most
+            order = np.argsort(ids.astype(np.uint16 if len(p["e"]) <= 1 << 16 else np.int32), kind="stable")  # as above, where 16 bits do
             cut = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
             g["e"][ids[order][cut]] += np.add.reduceat(de[order], cut, axis=0)
             squares += gradient * gradient
@@ -263,7 +274,7 @@ def places(broadcast, key: int) -> dict[bytes, int]:
     """Word -> place among the commonest; made once in each Python worker."""
     if key not in _table:
         _table.clear()
-        joined, logs = broadcast.value
+        joined, logs, _ = broadcast.value
         _table[key] = {w: i for i, w in enumerate(joined.split(b" ") if len(logs) > 1 else ())}
     return _table[key]
 
@@ -279,7 +290,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are lower-cased (A-Z) and counted over all documents to learn from. The model learns from all of them too: each
     task passes once over its documents, and the tasks' parameters are averaged by tokens, once for each entry of SHARES
     (parts of the documents, so each is learned from once). Scores are the model's probability of the class and the word;
-    words without an output of their own share one, times their smoothed frequency among such words. base_score is the
+    words without an output of their own share inputs and outputs by hash, in `buckets` whose number grows with the corpus,
+    times their smoothed frequency among the words of the bucket. base_score is the
     smoothed frequency of each token.
 
     Tasks hold the counts of the HEAD commonest words; what other words a document has is joined with their counts by
@@ -321,18 +333,35 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     words, n = [words[i] for i in order], n[order]
     modelled = min(len(words), WORDS - FIRST)
-    rest, rest_distinct = n_all - ends - int(n[:modelled].sum()), n_distinct - (ends > 0) - modelled
-    weights = np.concatenate([[ends, rest], n[:modelled]]).astype(np.float64).clip(1)
-    head = sc.broadcast((b" ".join(words), np.log10(np.append(n, 0.0) + 1)))
+    # tokens and different words of each bucket: those of all words, less the modelled
+    n_buckets = buckets(n_distinct - (ends > 0) - modelled)
+
+    def bucket_ids(hashed: np.ndarray) -> np.ndarray:
+        bucket = (hashed & np.uint64(n_buckets - 1)).astype(np.int32)
+        return np.where(bucket == 0, OTHER, bucket + (FIRST + modelled - 1)).astype(np.int32)
+
+    hashed = hashes_of(words)
+    own = (hashed[:modelled] & np.uint64(n_buckets - 1)).astype(np.int64)
+    mass, different = -np.bincount(own, n[:modelled], n_buckets), -np.bincount(own, minlength=n_buckets)
+    for r in counts.groupBy(F.xxhash64("word").bitwiseAND(F.lit(n_buckets - 1)).alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        mass[r["bucket"]] += r["n"]
+        different[r["bucket"]] += r["v"]
+    weights = np.concatenate([[ends, mass[0]], n[:modelled], mass[1:]]).astype(np.float64).clip(1)
+    within = np.log10(mass + different + 1)  # what a word's count in its bucket is divided by, by model id
+    within = np.concatenate([[0, within[0]], np.zeros(modelled), within[1:]])
+    ids = np.concatenate([np.arange(FIRST, FIRST + modelled), bucket_ids(hashed[modelled:]), [OTHER]]).astype(np.int32)
+    head = sc.broadcast((b" ".join(words), np.log10(np.append(n, 0.0) + 1), ids))
     more = n_distinct - (ends > 0) > len(words)
 
     def read_ids(text: bytes, ranks: dict):
-        """Words and their places among the commonest; HEAD for all others."""
-        w = text.lower().split()
-        return w, np.fromiter(map(ranks.get, w, repeat(HEAD)), np.int32, len(w))
-
-    def modelled_ids(rank: np.ndarray) -> np.ndarray:
-        return np.append(np.where(rank < modelled, rank + FIRST, OTHER), END).astype(np.int32)
+        """Words' places among the commonest (one behind the last for all others), hashes of these others, and model ids."""
+        w, own_ids = text.lower().split(), head.value[2]
+        none = len(own_ids) - 1
+        rank = np.fromiter(map(ranks.get, w, repeat(none)), np.int32, len(w))
+        unknown = np.flatnonzero(rank == none)
+        hashed, model_ids = hashes_of([w[k] for k in unknown.tolist()]), own_ids[rank]
+        model_ids[unknown] = bucket_ids(hashed)
+        return rank, hashed, np.append(model_ids, np.int32(END))
 
     key = hash((sc.applicationId, id(head), uuid.uuid4().hex))
 
@@ -347,7 +376,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             squares, held, n, seen = np.full(model.size, 1e-4, np.float32), [], 0, 0
             for batch in batches:
                 for text in texts(batch.column(0)):
-                    held.append(modelled_ids(read_ids(text, ranks)[1]))
+                    held.append(read_ids(text, ranks)[2])
                     n += len(held[-1])
                     if n >= LEARN_CHUNK:
                         model.learn(np.concatenate(held), starts(held), squares)
@@ -371,7 +400,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             flat[mean.column("at").to_numpy()] = mean.column("x").to_numpy()
     shared = sc.broadcast(flat)
 
-    base_total, rest_total, ends_log = math.log10(n_all + n_distinct + 1), math.log10(rest + rest_distinct + 1), math.log10(ends + 1)
+    base_total, ends_log = math.log10(n_all + n_distinct + 1), math.log10(ends + 1)
 
     def score(batches):
         ranks, model, row = table(), Model(weights, shared.value), TaskContext.get().partitionId() << 33
@@ -390,15 +419,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows, tokens, n = [], [], 0
         for batch in batches:
             for i, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
-                w, rank = read_ids(text, ranks)
-                rank = np.minimum(rank, len(log_count) - 1)  # the last entry: not among the commonest
-                logs = log_count[rank]
-                unknown = np.flatnonzero(rank == len(log_count) - 1)
-                other = rank >= modelled
-                packed = np.fromiter((xxhash.xxh64_intdigest(w[k], seed=42) for k in unknown.tolist()), np.uint64, len(unknown)).tobytes() if more else b""
-                rows.append((i, held, len(w) + 1, len(w) - len(unknown) + (ends > 0), float(logs.sum()) + ends_log - (len(w) + 1) * base_total, float(logs[other].sum()) - int(other.sum()) * rest_total, packed))
-                tokens.append(modelled_ids(rank))
-                n += len(w) + 1
+                rank, hashed, model_ids = read_ids(text, ranks)
+                logs, size = log_count[rank], len(rank) + 1
+                rows.append((i, held, size, len(rank) - len(hashed) + (ends > 0), float(logs.sum()) + ends_log - size * base_total, float(logs[rank >= modelled].sum() - within[model_ids].sum()), hashed.tobytes() if more else b""))
+                tokens.append(model_ids)
+                n += size
                 if n >= SCORE_CHUNK:
                     yield from out(rows, tokens)
                     rows, tokens, n = [], [], 0
