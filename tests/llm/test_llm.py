@@ -371,6 +371,11 @@ def test_html_colgroup_without_its_end():
     assert html.visible_text("<table><colgroup> <col> lost? <tr><td>x</table>") == "lost?\nx"
 
 
+def test_html_rowspan():
+    page = "<table><tr><th>Name<th>N<th>M<tr><td rowspan=2>Alpha<td>1<td rowspan=0>all<tr><td>2<tr><td>B<td>3<tbody><tr><td>C<td>4<td>5</table>"
+    assert html.visible_text(page) == "Name   N  M\nAlpha  1  all\n       2\nB      3\nC      4  5"
+
+
 def test_token_counts(docs, odd, empty):
     pieces = tokencount.vocabulary(tokencount.MODEL)
     known, automaton = set(pieces), tokencount.Automaton(pieces)

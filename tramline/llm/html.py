@@ -43,10 +43,11 @@ DEEPEST = 256
 
 
 class Node:
-    __slots__ = ("children", "hidden", "ordinal", "span", "tag")
+    __slots__ = ("children", "down", "hidden", "ordinal", "span", "tag")
 
     def __init__(self, tag: str, hidden: bool = False):
         self.tag, self.hidden, self.children, self.ordinal, self.span = tag, hidden, [], None, 1
+        self.down = 1
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -113,7 +114,7 @@ def tree(html: str) -> Node:
         a = attributes(m[3])
         node = Node(tag, tag in HIDDEN or "hidden" in a or bool(GONE.search(a.get("style", ""))) or a.get("aria-hidden", "").lower() == "true" or (tag == "dialog" and "open" not in a))
         if tag in ("td", "th"):
-            node.span = number(a.get("colspan"), 1, 100, 1)
+            node.span, node.down = number(a.get("colspan"), 1, 100, 1), number(a.get("rowspan"), 0, 65534, 1)
         elif tag == "ol":
             node.ordinal = number(a.get("start"), -(10**6), 10**6, 1)
         elif tag == "li" and "value" in a:
@@ -197,8 +198,27 @@ class Lines:
 
 
 def table(node: Node) -> list[str]:
-    """Rows as lines whose cells stand in aligned columns, two spaces apart; a caption stands above."""
+    """Rows as lines whose cells stand in aligned columns, two spaces apart; a caption stands above.
+
+    A cell over several rows is shown in the first one and keeps its columns free in the others of its row group.
+    """
     rows, captions = [], []
+    taken: dict[int, int] = {}  # column -> rows that a cell above still takes of it
+
+    def add(cells: list[Node]) -> None:
+        row, at, now = [], 0, dict(taken)
+        for c in cells:
+            while now.get(at, 0):
+                at += 1
+            row.append((at, rendered(c.children), c.span))
+            for k in range(at, at + c.span):
+                taken[k] = max(now.get(k, 0), c.down or 1 << 30)
+            at += c.span
+        for k in list(taken):
+            taken[k] -= 1
+            if not taken[k]:
+                del taken[k]
+        rows.append(row)
 
     def collect(x: Node) -> None:
         for c in x.children:
@@ -206,34 +226,35 @@ def table(node: Node) -> list[str]:
                 if isinstance(c, str) and c.strip():
                     captions.extend(rendered([c]))  # text between cells is shown before the table
             elif c.tag == "tr":
-                rows.append([(rendered(k.children), k.span) for k in c.children if not isinstance(k, str) and not k.hidden and k.tag in ("td", "th")])
+                add([k for k in c.children if not isinstance(k, str) and not k.hidden and k.tag in ("td", "th")])
                 for k in c.children:
                     if not isinstance(k, str) and k.tag not in ("td", "th") and not k.hidden:
                         captions.extend(rendered([k]))
             elif c.tag in ("thead", "tbody", "tfoot"):
+                taken.clear()
                 collect(c)
+                taken.clear()
             elif c.tag in ("td", "th"):
-                rows.append([(rendered(c.children), c.span)])
+                add([c])
             elif c.tag not in ("colgroup", "col"):
                 captions.extend(rendered([c]))
 
     collect(node)
     wide: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for lines, span in row:
+        for at, lines, span in row:
             if span == 1:
                 wide[at] = max(wide.get(at, 0), *map(width, lines or [""]))
-            at += span
     out = captions
     for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at = "", 0
-            for lines, span in row:
+        for i in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line, end = "", 0
+            for at, lines, span in row:
+                line += " " * sum(wide.get(k, 0) + 2 for k in range(end, at))
                 room = sum(wide.get(k, 0) + 2 for k in range(at, at + span))
                 cell = lines[i] if i < len(lines) else ""
                 line += cell + " " * max(2, room - width(cell))
-                at += span
+                end = at + span
             out.append(line.rstrip(" "))
     return out
 
