@@ -376,6 +376,10 @@ def test_html_rowspan():
     assert html.visible_text(page) == "Name   N  M\nAlpha  1  all\n       2\nB      3\nC      4  5"
 
 
+def test_html_text_in_row():
+    assert html.visible_text("<table><tr>note<td>x <td>y</tr> more </table>") == "note\nmore\nx  y"
+
+
 def test_token_counts(docs, odd, empty):
     pieces = tokencount.vocabulary(tokencount.MODEL)
     known, automaton = set(pieces), tokencount.Automaton(pieces)

@@ -228,7 +228,7 @@ def table(node: Node) -> list[str]:
             elif c.tag == "tr":
                 add([k for k in c.children if not isinstance(k, str) and not k.hidden and k.tag in ("td", "th")])
                 for k in c.children:
-                    if not isinstance(k, str) and k.tag not in ("td", "th") and not k.hidden:
+                    if isinstance(k, str) or (k.tag not in ("td", "th") and not k.hidden):
                         captions.extend(rendered([k]))
             elif c.tag in ("thead", "tbody", "tfoot"):
                 taken.clear()
