@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import arrow_rows
+from .words import slices
 
 # Fixed values of the HTML standard: elements by how they nest and how they are shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -330,10 +330,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([visible_text(h or "") for h in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
-    arrow_rows(pages.sparkSession, 1000)
     out = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "id long, text string")
     return out.withColumnRenamed("id", id_col)
 

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import arrow_rows
-from .words import texts
+from .words import slices, texts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Words whose counts a task remembers; the table is emptied at this size.
@@ -117,11 +116,10 @@ def count_tokens(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", tex
 
     def run(batches):
         known = counts(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             split = [t.split() for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, split), pa.int64()), pa.array([sum(map(known.__getitem__, ws)) for ws in split], pa.int64())], ["id", "n_words", "n_tokens"])
 
-    arrow_rows(docs.sparkSession, 2000)
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, n_words long, n_tokens long")
     return out.withColumnRenamed("id", id_col)
 

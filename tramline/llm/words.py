@@ -7,11 +7,15 @@ A word is a run of bytes other than space and \\t \\n \\v \\f \\r: what bytes.sp
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: A task's table of word hashes is emptied at this many words, so it stays bounded.
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
+#: Bytes of text that a task turns into words at once (one text at least).
+SLICE = 1 << 20
 
 
 class WordHashes(dict):
@@ -29,6 +33,18 @@ def texts(column) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int | None = None):
+    """A batch in parts whose texts have `most` bytes (SLICE) together, however many rows the session puts in a batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + (most or SLICE), "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def hashes(words: list[bytes], table: WordHashes) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
 
