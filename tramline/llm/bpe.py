@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import arrow_rows
+from .words import slices
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters of text that go to the library at once; longer texts are split at safe boundaries.
@@ -21,6 +21,10 @@ CHUNK = 200_000
 #: white space only starts a match or follows white space, and the look-ahead concerns runs of white space alone.
 #: Python's \s holds all that the library's \s holds, so (?<=\S) is the stricter of the two.
 SAFE = re.compile(r"(?<=\S)[ \n]")
+#: The library's pattern goes back step by step in a run of white space, which overflows its stack in long ones. Runs of
+#: this length are found here instead. The characters are those with the property White_Space (fixed values).
+RUN = 10_000
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 @lru_cache(maxsize=4)
@@ -46,26 +50,38 @@ def chunks(text: str, size: int = CHUNK):
 
 
 def encode_one(enc, text: str) -> np.ndarray:
-    parts = [np.array(enc.encode_ordinary(part), np.uint32) for part in chunks(text)]
+    """The ids of a whole text. A long run of white space is one match of the pattern but for its last character, which
+    is left to what follows, if something does; it is encoded as one piece."""
+    parts, at = [], 0
+    for run in LONG_RUN.finditer(text) if len(text) >= RUN else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        parts += [np.array(enc.encode_ordinary(part), np.uint32) for part in chunks(text[at : run.start()])]
+        parts.append(np.array(enc._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32))
+        at = end
+    parts += [np.array(enc.encode_ordinary(part), np.uint32) for part in chunks(text[at:] if at else text)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def encode_texts(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Id, `n_tokens` and `ids` (binary: the ids as little-endian unsigned 32-bit integers) of every whole text.
 
     Null and empty texts have no ids; ids of rows may be null or repeat, a row goes in and a row comes out; other
     columns aren't read. Long texts are split where no match of the pattern can span, in bounded pieces (a run without
-    any white space stays whole). No shuffle; a lost task is simply run again.
+    any white space stays whole; a run of white space may be of any length). With `decoded`, also that column of
+    `decode_ids`. No shuffle; a lost task is simply run again.
     """
 
     def run(batches):
         enc = encoding(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids = [encode_one(enc, t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([x.astype("<u4", copy=False).tobytes() for x in ids], pa.binary())], ["id", "n_tokens", "ids"])
+            columns = [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([x.astype("<u4", copy=False).tobytes() for x in ids], pa.binary())]
+            if decoded:
+                columns.append(pa.array([enc.decode_bytes(x.tolist()) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    arrow_rows(docs.sparkSession, 1000)
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary")
+    names = ["id", "n_tokens", "ids", "decoded"][: 3 + decoded]
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -85,5 +101,5 @@ def decode_ids(encoded: DataFrame, path: str = RANKS) -> DataFrame:
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    out = decode_ids(encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

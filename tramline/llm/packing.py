@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encode_one, encoding
-from .store import arrow_rows
+from .words import slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW = 1024
@@ -24,7 +24,8 @@ DOCUMENT, SENTENCE = 0, 3
 GRID = 32
 #: Tokens that one run of the dynamic program takes, and windows at its end that are left to the next one.
 BLOCK, LEFT = 1 << 19, 8
-SPECIAL = re.compile(re.escape("<|endoftext|>"))
+#: The vocabulary's special token, found before any other (fixed values).
+SPECIAL, END_OF_TEXT = re.compile(re.escape("<|endoftext|>")), np.array([50256], np.uint32)
 
 
 def cuts(positions: list[int], costs: list[int], window: int) -> list[int]:
@@ -143,7 +144,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int =
     ranks = vocabulary.removesuffix(".json") + ".tiktoken"
 
     def run(batches):
-        enc = encoding(ranks, (("<|endoftext|>", 50256),))
+        enc = encoding(ranks, (("<|endoftext|>", int(END_OF_TEXT[0])),))
         packer = Packer(ends_sentence(vocabulary), window, TaskContext.get().partitionId() << 33)
 
         def out(pieces):
@@ -151,17 +152,16 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int =
             if cols:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["id", "start", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
-                if SPECIAL.search(text):
-                    ids = np.array(enc.encode(text, allowed_special="all"), np.uint32)
-                else:
-                    ids = encode_one(enc, text)
+                ordinary = SPECIAL.split(text)
+                ids = encode_one(enc, ordinary[0])
+                if len(ordinary) > 1:
+                    ids = np.concatenate([ids, *(x for part in ordinary[1:] for x in (END_OF_TEXT, encode_one(enc, part)))])
                 yield from out(packer.add(doc_id, ids))
         yield from out(packer.drain(True))
 
-    arrow_rows(docs.sparkSession, 1000)
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumn("length", F.expr("cast(octet_length(ids) div 4 as bigint)")).withColumnRenamed("id", id_col)
 
