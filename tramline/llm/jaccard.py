@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import arrow_rows, written
-from .words import WordHashes, hashes, mixed, texts, windows
+from .store import written
+from .words import WordHashes, hashes, mixed, slices, texts, windows
 
 #: Words of a shingle; two sets link at a Jaccard similarity of PERCENT or more.
 WORDS, PERCENT = 3, 90
@@ -230,13 +230,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no shingles and link with nothing. Null ids are left alone (component null), rows with the
     same id count as linked, repeated rows come back repeated, long texts are read whole, an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark, 1000)
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
 
     def describe(batches):
         table, row = WordHashes(), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = shingle_sets(texts(batch.column(1)), table, words)
             rows, row = pa.array(range(row, row + len(sets)), pa.int64()), row + len(sets)
             whole = [(int(mixed(s).sum()) if len(s) else 0, int(mixed(s ^ np.uint64(0xA5A5A5A5)).sum()) if len(s) else 0) for s in sets]
@@ -247,8 +245,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), *cols], ["row", "doc", "n", "one", "two", "keys0", "keys1", "prints0", "prints1", "need0", "need1"])
 
     described = written(read.mapInArrow(describe, "row long, doc long, n long, one long, two long, keys0 binary, keys1 binary, prints0 binary, prints1 binary, need0 int, need1 int"), "sets")
-    present = described.where("n > 0 and doc is not null")
-    sets = written(present.groupBy("one", "two", "n").agg(F.min(F.struct("doc", "row")).alias("h")).select("one", "two", "n", "h.doc", "h.row"), "heads")
+    sets = described.where("n > 0 and doc is not null").groupBy("one", "two", "n").agg(F.min(F.struct("doc", "row")).alias("h"))
+    sets = written(sets.select("one", "two", "n", "h.doc", "h.row"), "heads")
+    # only heads are dealt: a text with many copies sends the keys of one
+    present = written(described.select("row", "doc", "keys0", "keys1", "prints0", "prints1", "need0", "need1").join(sets.select("row"), "row", "left_semi"), "present")
 
     def unpack(batches):
         for batch in batches:
@@ -286,9 +286,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if len(key):
             yield from out(len(key))
 
-    of_head = sets.select(F.col("row").alias("head"))
-    meeting = dealt.mapInArrow(shared, "key long, node long").distinct()
-    meeting = written(meeting.join(of_head, F.expr("node div 2") == F.col("head"), "left_semi"), "meeting")
+    meeting = written(dealt.mapInArrow(shared, "key long, node long").distinct(), "meeting")
     crowds = written(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > CROWD), "crowds")
     step = lambda i: F.struct((F.col("row") * 2 + i).alias("node"), F.col(f"prints{i}").alias("prints"), F.col(f"need{i}").alias("need"))
     nodes = present.select("doc", F.explode(F.array(step(0), step(1))).alias("x")).select("doc", "x.*").where(F.length("prints") > 0)
@@ -342,7 +340,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield _links(out)
 
     small = in_region.where(F.col("size") <= LIMIT).select("region", "doc", "text").repartition("region").sortWithinPartitions("region", "doc")
-    roots = small.mapInArrow(join_small, "hi long, lo long").groupBy("hi").agg(F.min("lo").alias("lo")).select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    roots = written(small.mapInArrow(join_small, "hi long, lo long"), "small").groupBy("hi").agg(F.min("lo").alias("lo")).select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     if many:
         roots = roots.unionByName(components(large_regions(in_region.where(F.col("size") > LIMIT), percent, words)))
     heads = sets.select("one", "two", "n", F.col("doc").alias("head")).join(roots, F.col("head") == F.col("node"), "left")
@@ -385,7 +383,6 @@ def large_regions(members: DataFrame, percent: int, words: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["region", "doc", "text", "far", "mask", "pivots"])
 
-    arrow_rows(members.sparkSession, 200)
     measured = written(members.select("region", "part", "doc", "text").join(pivots, ["region", "part"]).sortWithinPartitions("region").mapInArrow(measure, "region long, doc long, text binary, far array<double>, mask int, pivots array<long>"), "measured")
     to_pivots = measured.select("doc", F.explode(F.expr("transform(filter(sequence(0, size(pivots) - 1), i -> getbit(mask, i) = 1), i -> pivots[i])")).alias("lo")).where("doc <> lo").select(F.col("doc").alias("hi"), "lo")
 
