@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .store import arrow_rows, written
-from .words import WordHashes, hashes, mixed, texts, windows
+from .store import join_hot, written
+from .words import WordHashes, hashes, mixed, slices, texts, windows
 
 #: Words of a passage, and of the grams among which a passage's anchor is chosen.
 PASSAGE, GRAM = 50, 10
@@ -151,12 +151,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id don't repeat each other. An empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
 
     def anchors(batches):
         table = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids = batch.column(0).to_numpy()
             _, h, doc, _ = laid_out(texts(batch.column(1)), table)
             first, _, anchor, content, _ = runs(h, doc)
@@ -172,7 +171,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def passages(batches):
         table, usual = WordHashes(), common.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             ids, raw = batch.column(0).to_numpy(), texts(batch.column(2))
             hashed = batch.column(1).to_numpy()
             flat, h, doc, begin = laid_out(raw, table)
@@ -263,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.groupBy("doc", "row_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def strip(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             kept, total, gone = [], [], []
             for text, spans in zip(texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
@@ -289,7 +288,7 @@ def one_by_one(distinct: DataFrame) -> DataFrame:
 
     def split(batches):
         table = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4)):
             _, h, doc, begin = laid_out(texts(batch.column(4)), table)
             passage = windows(h, PASSAGE)
             at = np.flatnonzero(doc[: len(passage)] == doc[PASSAGE - 1 :]) if len(passage) else np.empty(0, np.int64)
@@ -298,9 +297,9 @@ def one_by_one(distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(passage[at].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array((at - begin[own]).astype(np.int32))], ["passage", "anchor", "content", "low", "at"])
 
     crowd = written(distinct.select("anchor", "content", "low", "high", "words"), "crowd")
-    passages = crowd.mapInArrow(split, "passage long, anchor long, content long, low long, at int")
-    first = passages.groupBy("passage").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("passage", "first")
-    spans = passages.join(first, "passage").where("low > first").groupBy("anchor", "content").agg(F.expr(f"transform(sort_array(collect_list(at)), x -> struct(x as s, x + {PASSAGE} as e))").alias("spans"))
+    passages = written(crowd.mapInArrow(split, "passage long, anchor long, content long, low long, at int"), "places")
+    first = passages.groupBy("passage").agg(F.min("low").alias("first"), F.max("low").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("passage", "first", "n")
+    spans = join_hot(passages, written(first, "firsts"), "passage", "n").where("low > first").groupBy("anchor", "content").agg(F.expr(f"transform(sort_array(collect_list(at)), x -> struct(x as s, x + {PASSAGE} as e))").alias("spans"))
     out = crowd.select("anchor", "content", "low", "high").join(spans, ["anchor", "content"], "left").where("high > low or spans is not null")
     return out.select("anchor", "content", "low", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")).alias("spans"))
 
