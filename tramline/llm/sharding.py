@@ -52,8 +52,9 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     inside = Window.partitionBy("bucket").orderBy("id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("inner", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     numbered = numbered.join(F.broadcast(starts), "bucket").withColumn("first", F.col("before") + F.col("inner"))
-    # copies are dealt out again in two steps, so that no array is longer than 65,536
-    numbered = numbered.withColumn("step", F.explode(F.expr("sequence(0L, (copies - 1) div 65536)")))
+    # copies are dealt out again in two steps with a shuffle of the thin rows between, so that no array is longer than
+    # 65,536 and no task deals out more of a group than its share
+    numbered = numbered.withColumn("step", F.explode(F.expr("sequence(0L, (copies - 1) div 65536)"))).repartition("bucket", "id", "crc", "step")
     numbered = numbered.withColumn("row", F.explode(F.expr("sequence(first + step * 65536, first + least(copies, (step + 1) * 65536) - 1)")))
     sides = numbered.withColumn("side", F.expr("cast(ceil(sqrt(n)) as bigint)")).withColumn("other", F.expr("(n + side - 1) div side"))
     placed = sides.withColumn("place", F.expr(permuted("row", "n", "side", "other", seed)))
