@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import arrow_rows, written
-from .words import SPACES, WordHashes, hashes, mixed, texts, windows
+from .store import written
+from .words import SPACES, WordHashes, hashes, mixed, slices, texts, windows
 
 #: Characters that count as symbols, and words that running text of four languages can't do without (fixed values).
 SYMBOLS = b"#*$%&|<>"
@@ -21,6 +23,7 @@ MARKS = b"!?"
 KEEP = 0.5
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_digits long, n_marks long, n_function long, word_bytes long, n_stutter long"
+NAMES = [x.split()[0] for x in FEATURES.split(", ")]
 
 
 def measure(batch_texts: list[bytes], table: WordHashes, width: int = 8) -> list[list[int]]:
@@ -60,21 +63,18 @@ def measure(batch_texts: list[bytes], table: WordHashes, width: int = 8) -> list
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """Id, the columns `keep` and the features of every whole text; no shuffle."""
-    schema = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"), *(F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)))
+    """Id, the columns `keep` and the features of every whole text; no shuffle. Only the text goes to Python, once."""
 
-    def run(batches):
+    @F.arrow_udf(FEATURES)
+    def measured(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = WordHashes()
-        for batch in batches:
-            columns = measure(texts(batch.column(1)), table)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(c, pa.int64()) for c in columns)], [*(n for i, n in enumerate(batch.schema.names) if i != 1), *(x.split()[0] for x in FEATURES.split(", "))])
-
-    from pyspark.sql.types import StructType
+        for x in column:
+            parts = [measure(texts(part.column(0)), table) for part in slices(pa.RecordBatch.from_arrays([x], ["text"]), 0)]
+            flat = [pa.array([v for part in parts for v in part[i]], pa.int64()) for i in range(len(NAMES))]
+            yield pa.StructArray.from_arrays(flat, NAMES)
 
-    out = StructType([f for f in schema.schema.fields if f.name != "__text"])
-    for x in FEATURES.split(", "):
-        out = out.add(*x.split())
-    return schema.mapInArrow(run, out)
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), *(F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)), measured(F.col(text_col).cast("binary")).alias("__features"))
+    return rows.select("__id", *(f"__keep{i}" for i in range(len(keep))), "__features.*")
 
 
 def rules() -> dict[str, Column]:
@@ -136,12 +136,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     rows; very long texts are measured whole; columns of other names are left alone.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 2000)
     named = rules()
     pattern = sum((F.coalesce(v + 1, F.lit(0)).cast("long") * 3**i for i, v in enumerate(named.values())), F.lit(0).cast("long"))
-    measured = features(docs, id_col, text_col, keep).withColumn("votes", pattern)
-    if not keep:  # a few numbers a row: measured once
-        measured = written(measured, "features")
+    measured = written(features(docs, id_col, text_col, keep).withColumn("votes", pattern), "features")  # so measured once
     found = measured.groupBy("votes").count().collect()  # 3^10 rows at most
     codes = np.array([r["votes"] for r in found], np.int64)
     votes = codes[:, None] // 3 ** np.arange(len(named)) % 3 - 1
