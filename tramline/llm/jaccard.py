@@ -343,6 +343,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = written(small.mapInArrow(join_small, "hi long, lo long"), "small").groupBy("hi").agg(F.min("lo").alias("lo")).select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     if many:
         roots = roots.unionByName(components(large_regions(in_region.where(F.col("size") > LIMIT), percent, words)))
+    # rows of one id with different sets link these sets
+    of_row = described.where("n > 0 and doc is not null").select("doc", "one", "two", "n").distinct()
+    several = of_row.groupBy("doc").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("doc")
+    if several.limit(1).count():
+        same = of_row.join(several, "doc", "left_semi").join(sets.select("one", "two", "n", F.col("doc").alias("lo")), ["one", "two", "n"]).select(F.col("doc").alias("hi"), "lo")
+        roots = components(roots.select(F.col("node").alias("hi"), F.col("root").alias("lo")).unionByName(same))
     heads = sets.select("one", "two", "n", F.col("doc").alias("head")).join(roots, F.col("head") == F.col("node"), "left")
     heads = heads.select("one", "two", "n", F.coalesce("root", "head").alias("component_id"))
     out = described.select("doc", "n", "one", "two").join(heads, ["one", "two", "n"], "left")
