@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,32 +232,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
 
     def describe(batches):
-        table, row = WordHashes(), TaskContext.get().partitionId() << 33
+        table = WordHashes()
         for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = shingle_sets(texts(batch.column(1)), table, words)
-            rows, row = pa.array(range(row, row + len(sets)), pa.int64()), row + len(sets)
             whole = [(int(mixed(s).sum()) if len(s) else 0, int(mixed(s ^ np.uint64(0xA5A5A5A5)).sum()) if len(s) else 0) for s in sets]
             one, two = (np.array([x[i] for x in whole], np.uint64).view(np.int64) for i in (0, 1))
             signed = signatures(sets, percent)
             cols = [pa.array([k.tobytes() for k, _, _ in column], pa.binary()) for column in zip(*signed, strict=True)] + [pa.array([x for _, x, _ in column], pa.binary()) for column in zip(*signed, strict=True)] + [pa.array([n for _, _, n in column], pa.int32()) for column in zip(*signed, strict=True)]
             cols = cols or [pa.array([], t) for t in (pa.binary(),) * 4 + (pa.int32(),) * 2]
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), *cols], ["row", "doc", "n", "one", "two", "keys0", "keys1", "prints0", "prints1", "need0", "need1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), *cols], ["doc", "n", "one", "two", "keys0", "keys1", "prints0", "prints1", "need0", "need1"])
 
-    described = written(read.mapInArrow(describe, "row long, doc long, n long, one long, two long, keys0 binary, keys1 binary, prints0 binary, prints1 binary, need0 int, need1 int"), "sets")
-    sets = described.where("n > 0 and doc is not null").groupBy("one", "two", "n").agg(F.min(F.struct("doc", "row")).alias("h"))
-    sets = written(sets.select("one", "two", "n", "h.doc", "h.row"), "heads")
-    # only heads are dealt: a text with many copies sends the keys of one
-    present = written(described.select("row", "doc", "keys0", "keys1", "prints0", "prints1", "need0", "need1").join(sets.select("row"), "row", "left_semi"), "present")
+    described = written(read.mapInArrow(describe, "doc long, n long, one long, two long, keys0 binary, keys1 binary, prints0 binary, prints1 binary, need0 int, need1 int"), "sets")
+    present = described.where("n > 0 and doc is not null")
+    sets = present.groupBy("one", "two", "n").agg(F.min(F.struct("doc", "prints0", "prints1", "need0", "need1")).alias("h"))
+    sets = written(sets.select("one", "two", "n", "h.*"), "heads")
+    # equal sets are one node, by the first half of their name: a task deals the keys of one of its copies, and sets that
+    # share a name by chance merely meet in more places
 
     def unpack(batches):
+        seen: set = set()
         for batch in batches:
+            if len(seen) > 10**6:
+                seen.clear()
+            names = batch.column(0).to_numpy()
+            fresh = [i for i, x in enumerate(names.tolist()) if x not in seen and not seen.add(x)]
             for step in (0, 1):
-                keys = [np.frombuffer(k, np.int64) for k in batch.column(1 + step).to_pylist()]
+                keys = [np.frombuffer(k, np.int64) for k in batch.column(1 + step).take(pa.array(fresh, pa.int64())).to_pylist()]
                 n = [len(k) for k in keys]
                 if sum(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column(0).to_numpy() * 2 + step, n))], ["key", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(names[fresh] & -2 | step, n))], ["key", "node"])
 
-    dealt = present.select("row", "keys0", "keys1").mapInArrow(unpack, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    dealt = present.select("one", "keys0", "keys1").mapInArrow(unpack, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
 
     def shared(batches):
         """Keys with several nodes, named by their nodes: what similar documents share under many keys is met once."""
@@ -288,8 +292,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     meeting = written(dealt.mapInArrow(shared, "key long, node long").distinct(), "meeting")
     crowds = written(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > CROWD), "crowds")
-    step = lambda i: F.struct((F.col("row") * 2 + i).alias("node"), F.col(f"prints{i}").alias("prints"), F.col(f"need{i}").alias("need"))
-    nodes = present.select("doc", F.explode(F.array(step(0), step(1))).alias("x")).select("doc", "x.*").where(F.length("prints") > 0)
+    step = lambda i: F.struct(F.col("one").bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(i)).alias("node"), F.col(f"prints{i}").alias("prints"), F.col(f"need{i}").alias("need"))
+    nodes = sets.select("doc", F.explode(F.array(step(0), step(1))).alias("x")).select("doc", "x.*").where(F.length("prints") > 0)
     few = meeting.join(crowds.select("key"), "key", "left_anti").join(nodes, "node").select("key", "doc", "need", "prints").repartition("key").sortWithinPartitions("key", "doc")
 
     def agreeing(batches):

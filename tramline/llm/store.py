@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ HOT, MOST_HOT = 64, 50_000
 
 #: Folder of each application whose session names none, and tables written and not yet deleted.
 _own: dict[str, str] = {}
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple[SparkSession, str, str]] = []
+_owner = [""]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,7 +38,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back; batches for Python are small meanwhile."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path, before = f"{shared_folder(spark)}/tramline-{what}-{uuid.uuid4().hex}", spark.conf.get(key)
-    _made.append((spark, path))
+    _made.append((spark, path, _owner[-1]))
     spark.conf.set(key, str(min(ROWS, int(before)) if int(before) > 0 else ROWS))
     try:
         df.write.parquet(path)
@@ -50,13 +52,24 @@ def made() -> int:
     return len(_made)
 
 
-def discard(since: int = 0, but: DataFrame | None = None) -> None:
-    """Deletes the tables written since `made` gave this number, except those that `but` reads. What is lazy must not need them."""
+@contextmanager
+def owned(owner: str):
+    """Tables written meanwhile have this owner."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def discard(since: int = 0, but: DataFrame | None = None, owner: str | None = None) -> None:
+    """Deletes the tables (of an owner) written since `made` gave this number, except those that `but` reads. What is lazy
+    must not need them."""
     stay = set(but.inputFiles()) if but is not None else set()
     folders = {x.rsplit("/", 1)[0].split("/tramline-")[-1] for x in stay}
     for item in _made[since:]:
-        spark, path = item
-        if path.split("/tramline-")[-1] not in folders:
+        spark, path, whose = item
+        if owner in (None, whose) and path.split("/tramline-")[-1] not in folders:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
             _made.remove(item)
