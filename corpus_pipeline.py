@@ -6,16 +6,32 @@ their names. Null texts count as empty, and rows with a null id are documents of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import jaccard, packing, quality, substring
-from tramline.llm.store import discard, made, written
+from tramline.llm.store import discard, owned, written
 
 #: Near copies here: shingles of five words, 80 % or more of them in common.
 SHINGLE, PERCENT = 5, 80
 
 
+def stage(f: Callable) -> Callable:
+    """A stage: before it begins, what those before it wrote on the way goes, as their results are written by then."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(but=docs, owner="pipeline")
+        with owned("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the label model holds to be good, judged row by row: repeated rows and ids go or stay together with
     equal texts. Null and empty texts go."""
@@ -23,6 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
+@stage
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near copies. Rows that share an id are one group: the one
     with the least checksum of its columns stays. Texts without words, and rows with a null id, all stay."""
@@ -37,6 +54,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return left
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones hold; those that lose nothing keep their white space too. Rows with
     a null id lose nothing, rows with one id don't repeat each other, equal passages stay where the id is least."""
@@ -46,6 +64,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.select(*(columns.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens, each row a document; an empty one is one piece with the end."""
     return packing.digests(packing.pack_documents(docs))
@@ -59,8 +78,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        since = made()
-        docs = written(stage(spark, docs, sf_dir), name)
-        discard(since, but=docs)  # what the stage wrote on the way
+    for name, f in STAGES:
+        docs = written(f(spark, docs, sf_dir), name)
+    discard(but=docs, owner="pipeline")
     return docs
