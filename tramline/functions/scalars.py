@@ -24,6 +24,17 @@ def uuid7_ms(u: Column) -> Column:
     return F.conv(F.substring(F.replace(u, F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("long")
 
 
+def uuid_bytes(u: Column) -> Column:
+    """The 16 bytes of a UUID text in either case, with or without hyphens; null if it isn't one."""
+    plain = F.replace(u, F.lit("-"), F.lit(""))
+    return F.when(F.rlike(plain, F.lit("^[0-9a-fA-F]{32}$")), F.unhex(plain))
+
+
+def uuid_text(b: Column) -> Column:
+    h = F.lower(F.hex(b))
+    return F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
 def uuid7_valid(u: Column) -> Column:
     return F.rlike(u, F.lit("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"))
 
@@ -56,6 +67,7 @@ STATUS = {
     "wamp.error.authorization_failed": 403, "wamp.error.canceled": 400, "wamp.error.option_disallowed.disclose_me": 400, "wamp.error.invalid_argument": 400, "wamp.error.invalid_uri": 400,
     "wamp.error.network_failure": 502, "wamp.error.not_authorized": 401, "wamp.error.no_eligible_callee": 502, "wamp.error.no_such_procedure": 501, "wamp.error.no_such_realm": 502,
     "wamp.error.no_such_registration": 502, "wamp.error.no_such_role": 400, "wamp.error.timeout": 504,
+    "wamp.error.no_such_subscription": 502, "wamp.error.option_not_allowed": 400, "wamp.error.procedure_already_exists": 400, "tramline.error.bad_gateway": 503, "tramline.error.timeout": 504,
 }
 
 

@@ -20,9 +20,21 @@ def components(uri: Column) -> Column:
     return F.split(uri, r"\.", -1)
 
 
+def shape(uri: Column) -> Column:
+    """A 1 for each component that is given and a 0 for each wildcard, as text, so that any number of them will do."""
+    return F.array_join(F.transform(components(uri), lambda x: F.when(x == "", "0").otherwise("1")), "")
+
+
 def degree(uri: Column) -> Column:
-    """Bit mask of the components that are given, the first one most significant."""
-    return F.aggregate(components(uri), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x == "", 0).otherwise(1))
+    """The shape as a number, the first component most significant; null beyond 62 components, which `degree_keys` can order."""
+    number = F.aggregate(components(uri), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x == "", 0).otherwise(1))
+    return F.when(F.size(components(uri)) <= 62, number)
+
+
+def degree_keys(uri: Column) -> list[Column]:
+    """Two columns that sort as the degree does, for any number of components."""
+    bits = F.regexp_replace(shape(uri), "^0+", "")
+    return [F.char_length(bits), bits]
 
 
 def matches(target: Column, pattern: Column, policy: Column) -> Column:

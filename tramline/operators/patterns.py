@@ -32,12 +32,12 @@ def match_patterns(targets: DataFrame, patterns: DataFrame, target: str = "topic
         t = t.withColumn("__l", F.explode(F.filter("__lengths", lambda n: n <= F.octet_length(target)))).withColumn("__t_key", F.substring(F.col(target).cast("binary"), F.lit(1), F.col("__l")))
         parts.append(t.join(p, (F.col("realm") == F.col("__p_realm")) & (F.col("__t_key") == F.col("__p_key"))))
     if "wildcard" in policies:
-        p = patterns.where("policy = 'wildcard'").withColumn("__p_size", F.size(U.components(F.col("uri")))).withColumn("__p_degree", U.degree(F.col("uri")))
+        p = patterns.where("policy = 'wildcard'").withColumn("__p_size", F.size(U.components(F.col("uri")))).withColumn("__p_degree", U.shape(F.col("uri")))
         shapes = p.select(F.col("__p_realm").alias("__s_realm"), F.col("__p_size").alias("__s_size"), F.col("__p_degree").alias("__mask")).distinct()
         t = targets.withColumn("__c", U.components(F.col(target))).withColumn("__n", F.size("__c"))
         t = t.join(shapes, (F.col("realm") == F.col("__s_realm")) & (F.col("__n") == F.col("__s_size")))
-        t = t.where(F.expr("forall(transform(__c, (x, i) -> x <> '' or getbit(__mask, __n - 1 - i) = 1), x -> x)"))
-        t = t.withColumn("__t_key", F.expr("array_join(transform(__c, (x, i) -> if(getbit(__mask, __n - 1 - i) = 1, x, '')), '.')"))
+        t = t.where(F.expr("forall(transform(__c, (x, i) -> x <> '' or substring(__mask, i + 1, 1) = '1'), x -> x)"))
+        t = t.withColumn("__t_key", F.expr("array_join(transform(__c, (x, i) -> if(substring(__mask, i + 1, 1) = '1', x, '')), '.')"))
         parts.append(t.join(p, (F.col("realm") == F.col("__p_realm")) & (F.col("__t_key") == F.col("uri")) & (F.col("__mask") == F.col("__p_degree"))))
     keep = [*targets.columns, *(c for c in patterns.columns if c != "__p_realm" and c not in targets.columns)]
     return reduce(DataFrame.unionByName, [x.select(*keep) for x in parts])
@@ -52,11 +52,17 @@ def best_match(matched: DataFrame, call: list[str], local_node: str | None = Non
     return matched.withColumn("place", F.row_number().over(Window.partitionBy(*call).orderBy(*order))).where("place = 1").drop("place")
 
 
-def ranking(local_node: str | None = None) -> list:
-    """Sort keys, most general order: see best_match."""
+def ranking_pairs(local_node: str | None = None) -> list[tuple]:
+    """The keys of `ranking` as (column, falling)."""
+    wild = F.col("policy") == "wildcard"
     keys = [
-        F.when(F.col("policy") == "exact", 0).when(F.col("policy") == "prefix", 1).otherwise(2), F.when(F.col("policy") == "prefix", F.col("uri")).desc(),
-        F.when(F.col("policy") == "wildcard", U.degree(F.col("uri"))).desc(), F.when(F.col("policy") == "wildcard", F.col("uri")),
-        F.when(F.col("invoke") == "single", 0).otherwise(1), F.col("invoke"),
+        (F.when(F.col("policy") == "exact", 0).when(F.col("policy") == "prefix", 1).otherwise(2), False), (F.when(F.col("policy") == "prefix", F.col("uri")), True),
+        *((F.when(wild, x), True) for x in U.degree_keys(F.col("uri"))), (F.when(wild, F.col("uri")), False),
+        (F.when(F.col("invoke") == "single", 0).otherwise(1), False), (F.col("invoke"), False),
     ]
-    return [*keys, *([F.when(F.col("node") == local_node, 0).otherwise(1)] if local_node else []), F.col("created_ms"), F.col("entry_id")]
+    return [*keys, *([(F.when(F.col("node") == local_node, 0).otherwise(1), False)] if local_node else []), (F.col("created_ms"), False), (F.col("entry_id"), False)]
+
+
+def ranking(local_node: str | None = None) -> list:
+    """Sort keys, most general order: see best_match."""
+    return [c.desc() if falls else c.asc() for c, falls in ranking_pairs(local_node)]

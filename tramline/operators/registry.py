@@ -39,6 +39,24 @@ def page(df: DataFrame, key: list[str], size: int, after: tuple | None = None) -
     return df.orderBy(*key).limit(size)
 
 
+def running(df: DataFrame, key: list[str], coarse: list[tuple[Column, bool]], order: list[Column], value: Column | None = None, name: str = "place") -> DataFrame:
+    """`df` with the running sum of `value` (the row number by default) within a key, in the order of `coarse` and `order`.
+
+    `coarse` are (column, falling) pairs that cut a key's rows into groups. Groups are summed up first, by partial aggregates, and
+    only the rows of a group are sorted together; so a key may hold most of the table.
+    """
+    value = F.lit(1) if value is None else value
+    names = [f"__g{i}" for i in range(len(coarse))]
+    groups = df.withColumns({n: c for n, (c, _) in zip(names, coarse, strict=True)}).withColumn("__value", value)
+    ordered = [F.col(n).desc() if falls else F.col(n).asc() for n, (_, falls) in zip(names, coarse, strict=True)]
+    sums = groups.groupBy(*key, *names).agg(F.sum("__value").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*key).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*(F.col(c).alias(f"__s{i}") for i, c in enumerate([*key, *names])), before.alias("__before"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate([*key, *names])])
+    inside = F.sum("__value").over(Window.partitionBy(*key, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return groups.join(sums, same).withColumn(name, F.col("__before") + inside).select(*df.columns, name)
+
+
 def take(df: DataFrame, taken: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """What is read destructively, and what is left."""
     return df.join(taken.select(*key).distinct(), key, "left_semi"), df.join(taken.select(*key).distinct(), key, "left_anti")

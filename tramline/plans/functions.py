@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from ..functions import cbor, scalars, templates
 from ..sources import files, tables
 from .registry import ORACLE_SQL, QUERIES, query
+from .tables import BUCKET
 
 HEX32 = "printf('%08x', {x})"
 
 
-@query("time_ordered_ids")
+@query("time_ordered_ids", "messages", " SELECT event_id, substr(printf('%012x', ts_ms), 1, 8) || '-' || substr(printf('%012x', ts_ms), 9, 4) || '-7' AS head, 36 AS chars, true AS same_ms, true AS valid, true AS parsed FROM messages")
 def time_ordered_ids(read, spark):
     """Time-ordered ids with what they hold."""
     u = scalars.uuid7(F.col("ts_ms"), F.col("event_id"))
     m = read("messages").select("event_id", "ts_ms", u.alias("id"))
-    return m.select("event_id", "id", (scalars.uuid7_ms(F.col("id")) == F.col("ts_ms")).alias("same_ms"), scalars.uuid7_valid(F.col("id")).alias("valid"))
+    return m.select("event_id", F.substring("id", 1, 15).alias("head"), F.char_length("id").alias("chars"), (scalars.uuid_text(scalars.uuid_bytes(F.upper("id"))) == F.col("id")).alias("parsed"), (scalars.uuid7_ms(F.col("id")) == F.col("ts_ms")).alias("same_ms"), scalars.uuid7_valid(F.col("id")).alias("valid"))
 
 
 @query("backoff_delays", "messages", ", a AS (SELECT event_id, event_id % 12 + 1 AS attempt, CAST(event_id % 100 AS DOUBLE) / 100 AS draw FROM messages) SELECT event_id, greatest(50, CAST(floor(draw * least(30000.0::DOUBLE, 100 * pow(2.0::DOUBLE, attempt - 1))) AS BIGINT)) AS delay, least(100 * attempt * 2, 1500) AS doubled FROM a")
@@ -43,7 +44,7 @@ STATUSES = "statuses AS (SELECT unnest([200, 400, 401, 403, 404, 408, 418, 422,
 
 
 @query("status_errors", "", f"""WITH {STATUSES} SELECT status, CASE WHEN status IN (400, 422) THEN 'wamp.error.invalid_argument' WHEN status IN (401, 403) THEN 'wamp.error.not_authorized' WHEN status = 404 THEN 'wamp.error.not_found' WHEN status IN (408, 504) THEN 'wamp.error.timeout'
- WHEN status = 429 THEN 'tramline.error.too_many_requests' WHEN status BETWEEN 400 AND 499 THEN 'tramline.error.invalid_argument' ELSE 'tramline.error.bad_gateway' END AS error, CASE WHEN status IN (400, 422) THEN 400 WHEN status IN (401, 403) THEN 401 WHEN status IN (408, 504) THEN 504 ELSE 500 END AS back FROM statuses""")
+ WHEN status = 429 THEN 'tramline.error.too_many_requests' WHEN status BETWEEN 400 AND 499 THEN 'tramline.error.invalid_argument' ELSE 'tramline.error.bad_gateway' END AS error, CASE WHEN status IN (400, 422) THEN 400 WHEN status IN (401, 403) THEN 401 WHEN status IN (408, 504) THEN 504 WHEN status = 404 OR status BETWEEN 405 AND 499 THEN 500 ELSE 503 END AS back FROM statuses""")
 def status_errors(read, spark):
     """HTTP statuses as errors and back."""
     s = spark.createDataFrame([(x,) for x in (200, 400, 401, 403, 404, 408, 418, 422, 429, 500, 502, 503, 504)], "status int")
@@ -93,10 +94,10 @@ def names(read, spark):
     return c.select("c_custkey", scalars.normal_name("c_name").alias("normal"), F.lpad(F.col("c_custkey").cast("string"), 16, "0").alias("part"), F.substring("c_name", 1, 12).alias("cut"), F.coalesce(F.when(F.col("c_acctbal") >= 0, "paid"), F.lit("owes")).alias("state"))
 
 
-@query("message_partitions")
+@query("message_partitions", "messages", " SELECT event_id, list_reduce(list_transform(string_split(topic, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, x: xor(a, x) * 16777619 % 4294967296, 2166136261::BIGINT) % 12 AS fnv, ltrim(array_to_string(list_transform(range(7, -1, -1), lambda i: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', CAST((ts_ms // CAST(pow(62, i) AS BIGINT)) % 62 + 1 AS INT), 1)), ''), '0') AS short FROM messages")
 def message_partitions(read, spark):
-    """Partitions of messages by FNV-1a and by the engine's own hash, and short ids."""
-    return read("messages").select("event_id", F.pmod(scalars.fnv1a(F.col("topic")), F.lit(12)).alias("fnv"), F.pmod(F.xxhash64("topic"), F.lit(12)).alias("own"), scalars.base62(F.col("ts_ms")).alias("short"))
+    """Partitions of messages by FNV-1a, and short ids."""
+    return read("messages").select("event_id", F.pmod(scalars.fnv1a(F.col("topic")), F.lit(12)).alias("fnv"), scalars.base62(F.col("ts_ms")).alias("short"))
 
 
 @query("exposition", "messages", " SELECT '# TYPE events_total counter' AS line UNION ALL SELECT concat('events_total{realm=\"', realm, '\",kind=\"', event_type, '\"} ', count(*)) FROM messages GROUP BY realm, event_type")
@@ -154,4 +155,5 @@ def stream_windows(spark, sf_dir: str):
 
 QUERIES["stream_token_bucket"] = stream_token_bucket
 QUERIES["stream_windows"] = stream_windows
+ORACLE_SQL["stream_token_bucket"] = BUCKET + " SELECT session, ts_ms, allowed, CASE WHEN allowed THEN tokens ELSE 0 END AS remaining FROM b"
 ORACLE_SQL["stream_windows"] = "SELECT epoch_us(ts) // 86400000000 AS day, event_type, count(*) AS n FROM events WHERE epoch_us(ts) // 86400000000 < (SELECT (max(epoch_us(ts)) // 1000 - 3600000) // 86400000 FROM events) GROUP BY ALL"

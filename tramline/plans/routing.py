@@ -53,9 +53,9 @@ def direct_match(read, spark):
  AND list_bool_and(list_transform(list_zip(string_split(a.uri, '.'), string_split(b.uri, '.')), lambda z: z[1] = '' OR z[1] = z[2]))""")
 def subsumed_patterns(read, spark):
     """Pairs of wildcards of which the first holds all that the second matches: blanked by each mask in use, an equi join."""
-    w = read("entries").where("policy = 'wildcard'").select("uri").distinct().withColumn("n", F.size(U.components(F.col("uri")))).withColumn("mask", U.degree(F.col("uri")))
+    w = read("entries").where("policy = 'wildcard'").select("uri").distinct().withColumn("n", F.size(U.components(F.col("uri")))).withColumn("mask", U.shape(F.col("uri")))
     shapes = w.select("n", F.col("mask").alias("of")).distinct()
-    other = w.select(F.col("uri").alias("other"), "n").join(shapes, "n").withColumn("key", F.expr("array_join(transform(split(other, '[.]', -1), (x, i) -> if(getbit(of, n - 1 - i) = 1, x, '')), '.')")).drop("n")
+    other = w.select(F.col("uri").alias("other"), "n").join(shapes, "n").withColumn("key", F.expr("array_join(transform(split(other, '[.]', -1), (x, i) -> if(substring(of, i + 1, 1) = '1', x, '')), '.')")).drop("n")
     return w.join(other, (F.col("uri") == F.col("key")) & (F.col("mask") == F.col("of"))).select(F.col("uri").alias("pattern"), "other")
 
 
@@ -74,7 +74,8 @@ def best_local_registration(read, spark):
 @query("ranked_registry", "entries", f" SELECT realm, entry_id, row_number() OVER (PARTITION BY realm ORDER BY {ORDER.format(node='')}) AS place FROM entries")
 def ranked_registry(read, spark):
     """All registrations of a realm, best first."""
-    return read("entries").select("realm", "entry_id", F.row_number().over(Window.partitionBy("realm").orderBy(*P.ranking())).cast("long").alias("place"))
+    coarse = [*P.ranking_pairs()[:-2], (F.expr("created_ms div 1000"), False)]
+    return R.running(read("entries"), ["realm"], coarse, [F.col("created_ms"), F.col("entry_id")]).select("realm", "entry_id", "place")
 
 
 @query("wildcard_degree", "entries", f" SELECT uri, {DEGREE.format(x='uri')} AS degree, count(*) AS n FROM entries GROUP BY uri")
@@ -96,8 +97,7 @@ def load_balancing(read, spark):
     """Callees of calls by three strategies: first, last and round robin. A procedure's callees are one sorted array (there are few), so calls join one row."""
     callees = read("entries").where("policy = 'prefix'").groupBy("realm", "uri").agg(F.sort_array(F.collect_list(F.struct("created_ms", "entry_id"))).alias("c"))
     called = F.concat(F.lit("com.app."), "event_type", F.lit(".u"), F.col("session") % 10)
-    turn = F.row_number().over(Window.partitionBy("realm", "uri").orderBy("event_id"))
-    calls = read("messages").select("event_id", "realm", called.alias("uri")).withColumn("k", turn)
+    calls = R.running(read("messages").select("event_id", "realm", called.alias("uri")), ["realm", "uri"], [(F.expr("event_id div 65536"), False)], [F.col("event_id")], name="k")
     at = lambda i: F.element_at("c", i)["entry_id"]
     return calls.join(callees, ["realm", "uri"]).select("event_id", at(F.lit(1)).alias("first_callee"), at(F.lit(-1)).alias("last_callee"), at((F.pmod(F.col("k") - 1, F.size("c")) + 1).cast("int")).alias("round_robin"))
 
@@ -110,13 +110,16 @@ def least_loaded(read, spark):
     return best.select("realm", "uri", F.col("b.entry_id").alias("entry_id"), F.col("b.queued").alias("queued"))
 
 
-@query("consistent_hash_callee")
+@query("consistent_hash_callee", "messages entries", """, callees AS (SELECT realm, uri, list(entry_id ORDER BY entry_id) AS c FROM entries WHERE policy = 'prefix' GROUP BY ALL),
+ q AS (SELECT event_id, session, c, len(c) AS n FROM messages m JOIN callees e ON m.realm = e.realm AND 'com.app.' || event_type || '.u' || (session % 10) = e.uri),
+ jump AS (SELECT event_id, n, session::HUGEINT AS key, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j FROM q UNION ALL
+ SELECT event_id, n, k, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(k // 8589934592 + 1 AS DOUBLE))) AS BIGINT) FROM (SELECT *, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k FROM jump WHERE j < n) x)
+ SELECT q.event_id, max(b) AS bucket, max(c[b + 1]) FILTER (j >= q.n) AS entry_id FROM q JOIN jump USING (event_id) GROUP BY q.event_id""")
 def consistent_hash_callee(read, spark):
-    """Callees by jump consistent hash of a routing key, and the better of two drawn by seeded hashes."""
+    """Callees by jump consistent hash of a routing key."""
     callees = read("entries").where("policy = 'prefix'").groupBy("realm", "uri").agg(F.sort_array(F.collect_list("entry_id")).alias("c"))
     calls = read("messages").select("event_id", "realm", "session", F.concat(F.lit("com.app."), "event_type", F.lit(".u"), F.col("session") % 10).alias("uri")).join(callees, ["realm", "uri"])
-    two = [F.element_at("c", (F.pmod(F.xxhash64("event_id", F.lit(s)), F.size("c")) + 1).cast("int")) for s in (1, 2)]
-    return calls.withColumn("bucket", hashing.jump_hash("session", F.size("c").cast("long"))).select("event_id", "bucket", F.element_at("c", (F.col("bucket") + 1).cast("int")).alias("entry_id"), F.least(*two).alias("of_two"))
+    return calls.withColumn("bucket", hashing.jump_hash("session", F.size("c").cast("long"))).select("event_id", "bucket", F.element_at("c", (F.col("bucket") + 1).cast("int")).alias("entry_id"))
 
 
 @query("publish_filter", "messages entries", f""", {MATCHED}, opts AS (SELECT event_id, realm, topic, session AS publisher, event_id % 3 <> 0 AS exclude_me, CASE WHEN event_id % 4 = 0 THEN [session % 97, (session + 1) % 97, (session + 2) % 97] ELSE [] END AS eligible, [(session + 1) % 97] AS excluded FROM messages),
@@ -183,10 +186,10 @@ def uri_rules(read, spark):
     return read("entries").select("uri").distinct().select("uri", U.valid(u, "loose").alias("loose"), U.valid(u, "strict").alias("strict"), U.valid(u, "strict_allow_empty").alias("with_empty"), U.derived_policy(u).alias("policy"), parts[0].alias("domain"), F.array_join(F.slice(parts, 2, 20), "/").alias("rest"))
 
 
-@query("uri_encoding", "entries", " SELECT DISTINCT uri, len(uri) + len(list_filter(string_split(uri, '.'), lambda x: x = '')) AS encoded_chars, true AS round_trip FROM entries")
+@query("uri_encoding", "entries", " SELECT DISTINCT uri, len(uri) + len(list_filter(string_split(uri, '.'), lambda x: x = '')) AS encoded_chars, replace(array_to_string(list_transform(string_split(uri, '.'), lambda x: CASE WHEN x = '' THEN chr(1) ELSE x END), '.'), chr(1), '~') AS encoded, true AS round_trip FROM entries")
 def uri_encoding(read, spark):
     u = U.encoded(F.col("uri"))
-    return read("entries").select("uri").distinct().select("uri", F.char_length(u).cast("long").alias("encoded_chars"), (U.decoded(u) == F.col("uri")).alias("round_trip"))
+    return read("entries").select("uri").distinct().select("uri", F.char_length(u).cast("long").alias("encoded_chars"), F.replace(u, F.lit("\0"), F.lit("~")).alias("encoded"), (U.decoded(u) == F.col("uri")).alias("round_trip"))
 
 
 @query("registry_partitions")

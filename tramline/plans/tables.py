@@ -99,6 +99,11 @@ def first_and_last_subscriber(read, spark):
 RETAINED = "retained AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY realm, topic ORDER BY ts_ms DESC, event_id DESC) AS place FROM messages) x WHERE place = 1)"
 VALID = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE ts_ms + 86400000 * (event_id % 30) END"
 NOW = 1706000000000
+#: The fold of a token bucket, request by request.
+BUCKET = """WITH RECURSIVE m AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS ts_ms, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
+ b AS (SELECT session, ts_ms, event_id, place, true AS allowed, CAST(2 AS BIGINT) AS tokens, ts_ms AS since FROM m WHERE place = 1 UNION ALL
+ SELECT session, ts_ms, event_id, place, whole >= 1, CASE WHEN whole >= 1 THEN whole - 1 ELSE tokens END, CASE WHEN whole >= 1 THEN ts_ms ELSE since END FROM
+ (SELECT m.*, b.tokens, b.since, CAST(trunc(least(3.0::DOUBLE, b.tokens + CAST(m.ts_ms - b.since AS DOUBLE) * (1.0::DOUBLE / 7200000.0::DOUBLE))) AS BIGINT) AS whole FROM b JOIN m ON m.session = b.session AND m.place = b.place + 1) x)"""
 
 
 def kept(read):
@@ -151,8 +156,7 @@ def retained_replay(read, spark):
 @query("retained_counters", "messages", f", {RETAINED} SELECT realm, count(*) AS messages, sum(length(props)) AS memory, sum(CASE WHEN run <= 4000 THEN 1 ELSE 0 END) AS within_limit FROM (SELECT *, sum(length(props)) OVER (PARTITION BY realm ORDER BY ts_ms, event_id) AS run FROM retained) x GROUP BY realm")
 def retained_counters(read, spark):
     """Messages and bytes of each realm, and how many came before its memory was full."""
-    w = Window.partitionBy("realm").orderBy("ts_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = kept(read).withColumn("run", F.sum(F.octet_length("props")).over(w))
+    run = R.running(kept(read), ["realm"], [(F.expr("ts_ms div 3600000"), False)], [F.col("ts_ms"), F.col("event_id")], F.octet_length("props"), "run")
     return run.groupBy("realm").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.octet_length("props")).alias("memory"), F.sum(F.when(F.col("run") <= 4000, 1).otherwise(0)).alias("within_limit"))
 
 
@@ -196,7 +200,7 @@ def call_deadlines(read, spark):
     return read("calls").select("call_id", (F.col("sent_ms") + F.when(asked == 0, 3600).otherwise(F.coalesce(asked, F.lit(30)))).alias("deadline"))
 
 
-@query("token_bucket")
+@query("token_bucket", "", BUCKET + " SELECT session, ts_ms, event_id, allowed, CASE WHEN allowed THEN tokens ELSE 0 END AS remaining, CASE WHEN allowed AND tokens >= 1 THEN 0 ELSE CAST(ceil(1.0::DOUBLE / (1.0::DOUBLE / 7200000.0::DOUBLE)) AS BIGINT) END AS resets_in_ms FROM b")
 def token_bucket(read, spark):
     """A bucket of three tokens for each user, one more every two hours."""
     m = read("messages").select("session", "ts_ms", "event_id")
