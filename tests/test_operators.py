@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.functions import cbor, hashing, net, scalars, stamps, templates
+from tramline.functions import cbor, hashing, msgpack, net, scalars, stamps, templates
 from tramline.functions import uri as U
-from tramline.operators import access, patterns, registry, state
-from tramline.sources import files
+from tramline.operators import access, events, patterns, registry, state
+from tramline.sources import bridge, files
 
 
 def brute(target, uri, policy):
@@ -170,3 +170,69 @@ def test_retries():
     assert files.retried(flaky, sleep=waits.append)(None, 7) == "done" and waits == [0.05, 0.1]
     with pytest.raises(OSError):
         files.retried(lambda d, b: (_ for _ in ()).throw(OSError()), most=1, sleep=waits.append)(None, 1)
+
+
+@pytest.mark.parametrize("value,text", [(0, "00"), (127, "7f"), (128, "cc80"), (65536, "ce00010000"), (-1, "ff"), (-33, "d0df"), (-32769, "d2ffff7fff"), (2**64 - 1, "cfffffffffffffffff"), (1.5, "cb3ff8000000000000"), (None, "c0"), (True, "c3"), ("é", "a2c3a9"), (b"\x01", "c40101"), ([1, "a"], "9201a161"), ({"k": []}, "81a16b90"), ("x" * 40, "d928" + "78" * 40), (list(range(20)), "dc0014" + "".join(f"{i:02x}" for i in range(20)))])
+def test_msgpack_vectors(value, text):
+    assert msgpack.encode(value).hex() == text and msgpack.decode(bytes.fromhex(text)) == value
+    head, tail = msgpack.decode_head(msgpack.encode([16, 7, {"x": 1}, value]), 2)
+    assert head == [16, 7] and tail == msgpack.encode({"x": 1}) + msgpack.encode(value)
+
+
+def test_msgpack_broken():
+    for broken in ("cc", "a561", "92", "c1", "0000"):
+        with pytest.raises(ValueError):
+            msgpack.decode(bytes.fromhex(broken))
+    with pytest.raises(ValueError):
+        msgpack.encode(2**64)
+
+
+def test_long_patterns(spark):
+    wild = ".".join(["", *(f"c{i}" for i in range(79))])
+    t = spark.createDataFrame([("r", ".".join(f"c{i}" for i in range(-1, 79)))], "realm string, topic string")
+    e = spark.createDataFrame([("r", wild, "wildcard", 1), ("r", wild + ".x", "wildcard", 2)], "realm string, uri string, policy string, id int")
+    assert [r.id for r in patterns.match_patterns(t, e).collect()] == [1]
+    assert [r.uri for r in e.orderBy(*[c.desc() for c in U.degree_keys(F.col("uri"))]).collect()] == [wild + ".x", wild]
+
+
+def test_ipv6_ranges(spark):
+    import ipaddress
+
+    rng = random.Random(5)
+    ips = [str(ipaddress.IPv6Address(rng.getrandbits(128) >> rng.choice([0, 64, 100]))) for _ in range(30)] + ["::", "::1", "1::", "x", "1:2", "1::2::3"]
+    df = spark.createDataFrame([(x,) for x in ips], "ip string")
+    for cidr in ("::/64", "::/0", "2001:db8::/32", "::/128"):
+        got = [r[0] for r in df.select(net.in_range6(F.col("ip"), cidr)).collect()]
+        valid = lambda x: all(c in "0123456789abcdef:" for c in x) and x not in ("1:2", "1::2::3")
+        assert got == [valid(x) and ipaddress.ip_address(x) in ipaddress.ip_network(cidr) for x in ips]
+
+
+def test_running(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, i, i % 7) for i in range(200)], "k string, i int, v int")
+    got = {(r.k, r.i): r.s for r in registry.running(df, ["k"], [(F.expr("i div 16"), True)], [F.col("i").desc()], F.col("v"), "s").collect()}
+    assert got == {(k, i): sum(j % 7 for j in range(i, 200) if (j % 3 == 0) == (i % 3 == 0)) for i in range(200) for k in ["a" if i % 3 else None]}
+
+
+def test_event_bus_and_callbacks(spark):
+    bus, seen = events.Bus(), []
+    bus.add("bad", F.lit(True), lambda df, b: (_ for _ in ()).throw(OSError("down")))
+    bus.add("odd", F.col("id") % 2 == 1, lambda df, b: seen.append(df.count()))
+    with pytest.raises(RuntimeError, match="bad: down"):
+        bus.sink(spark.range(5), 0)
+    assert seen == [2]
+    with pytest.raises(ValueError):
+        events.Callbacks().register("f", lambda x: x, 2)
+    shed = events.shed(spark.range(10), 3, F.expr("id div 5"), ["id"]).where("pooled")
+    assert sorted(r.id for r in shed.collect()) == [0, 1, 2, 5, 6, 7]
+
+
+def test_bridge(spark, tmp_path):
+    spark.dataSource.register(bridge.BridgeSource)
+    spark.range(6).write.format("tramline_bridge").option("plugin", "plugin:ToFile").option("folder", str(tmp_path)).mode("append").save()
+    assert sorted(int(x) for f in tmp_path.iterdir() for x in f.read_text().split()) == [0, 2, 4]
+
+
+def test_error_statuses(spark):
+    want = {"wamp.error.no_such_subscription": 502, "wamp.error.option_not_allowed": 400, "wamp.error.procedure_already_exists": 400, "tramline.error.bad_gateway": 503, "tramline.error.timeout": 504, "wamp.error.not_authorized": 401, "wamp.error.authorization_failed": 403, "wamp.close.close_realm": 500}
+    got = spark.createDataFrame([(u,) for u in want], "u string").select("u", scalars.error_status(F.col("u")).alias("s")).collect()
+    assert {r.u: r.s for r in got} == want

@@ -56,3 +56,41 @@ def test_call_outcomes(spark, tmp_path):
     answers = spark.readStream.schema(spark.read.parquet(str(tmp_path / "answers")).schema).parquet(str(tmp_path / "answers")).drop("s")
     got = {(r.call_id, r.outcome) for r in run(stateful.call_outcomes(calls, answers, "10 seconds", "1 second"), "append", tmp_path)}
     assert got == {(1, "result"), (2, "timeout"), (3, "error")}
+
+
+@pytest.fixture()
+def timed(spark, tmp_path):
+    """A stream that reads its rows batch by batch, one file each; `at` and `until` are seconds."""
+
+    def make(batches, schema):
+        for i, rows in enumerate(batches):
+            df = spark.createDataFrame(rows, schema)
+            for c in ("at", "until"):
+                if c in df.columns:
+                    df = df.withColumn(c, F.timestamp_seconds(c))
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/b={i}"))
+        kinds = spark.read.parquet(str(tmp_path / "in")).drop("b").schema
+        return spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+
+    return make
+
+
+def test_pending_calls(timed, tmp_path):
+    call, end = lambda i, at, until, who="n1": ("r", who, i, at, "call", until), lambda i, at, kind, who="n1": ("r", who, i, at, kind, None)
+    first = [call(1, 1, 11), end(1, 3, "result"), call(2, 1, 11), end(2, 4, "skip"), call(3, 2, 11), end(3, 3, "kill"), end(3, 5, "result"), call(4, 2, 9), call(5, 2, 9), end(5, 6, "kill"), call(6, 2, 50, "n2"), call(7, 3, 60, "n2"), end(6, 4, "error", "n2"), end(None, 8, "gone", "n2")]
+    later = [call(8, 100, 101, "n3"), end(9, 100, "result", "n3")]
+    got = run(stateful.pending_calls(timed([first, later, [call(10, 200, 201, "n4")]], "realm string, callee string, call_id long, at long, kind string, until long"), "1 second"), "append", tmp_path)
+    assert {(r.call_id, r.outcome) for r in got} >= {(1, "result"), (2, "canceled"), (3, "canceled"), (4, "timeout"), (5, "canceled"), (6, "error"), (7, "callee_gone"), (8, "timeout")}
+    assert len({r.call_id for r in got}) == len(got) and not {9, 10} & {r.call_id for r in got}
+
+
+def test_queue_with_expiry(timed, tmp_path):
+    rows = [("q", i, i, "put") for i in range(1, 7)] + [("q", 0, 7, "drain")]
+    got = run(stateful.queue_with_expiry(timed([rows, [("q", 0, 12, "drain")], [("other", 1, 100, "put")], [("other", 2, 200, "put")]], "q string, seq long, at long, kind string"), "q", 10_000, 5, 2, "1 second"), "append", tmp_path)
+    assert sorted((r.q, r.seq, r.fate) for r in got) == [("other", 1, "expired"), ("q", 1, "dropped"), ("q", 2, "sent"), ("q", 3, "sent"), ("q", 4, "sent"), ("q", 5, "sent"), ("q", 6, "expired")]
+
+
+def test_retained_until(timed, tmp_path):
+    stream = timed([[("a", 1, 5, "old"), ("a", 2, 6, "new"), ("b", 1, None, "kept")], [("c", 100, None, "x")], [("c", 200, None, "y")]], "topic string, at long, until long, v string")
+    got = run(stateful.retained_until(stream, ["topic"], "at", "until", "v", "1 second"), "update", tmp_path)
+    assert {(r.topic, r.value, r.evicted) for r in got} == {("a", "new", False), ("a", "new", True), ("b", "kept", False), ("c", "x", False), ("c", "y", False)}

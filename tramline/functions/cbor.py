@@ -156,27 +156,27 @@ def decode_head(data: bytes, n: int) -> tuple[list, bytes]:
     return [reader.value() for _ in range(min(n, size))], data[reader.at :]
 
 
-@F.pandas_udf(BinaryType())
-def from_json_text(text: pd.Series) -> pd.Series:
-    """CBOR (deterministic) of JSON texts; null where the text is null or no JSON."""
+def by_distinct(values: pd.Series, f) -> pd.Series:
+    """f of each value of a batch, worked out once for equal ones; null for null, and where f finds the value broken."""
 
-    def one(t):
+    def one(x):
         try:
-            return None if t is None else encode(json.loads(t), deterministic=True)
-        except ValueError:
+            return f(x)
+        except (ValueError, TypeError):
             return None
 
-    return text.map(one)
+    codes, distinct = pd.factorize(values, use_na_sentinel=True)
+    out = [*map(one, distinct), None]  # nulls have the code -1
+    return pd.Series([out[c] for c in codes.tolist()], dtype=object)
+
+
+@F.pandas_udf(BinaryType())
+def from_json_text(text: pd.Series) -> pd.Series:
+    """CBOR (deterministic) of JSON texts; null where the text is null or no JSON."""
+    return by_distinct(text, lambda t: encode(json.loads(t), deterministic=True))
 
 
 @F.pandas_udf(StringType())
 def to_json_text(data: pd.Series) -> pd.Series:
     """JSON (sorted keys) of CBOR values; null where the data is null or broken."""
-
-    def one(b):
-        try:
-            return None if b is None else json.dumps(decode(bytes(b)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except (ValueError, TypeError):
-            return None
-
-    return data.map(one)
+    return by_distinct(data, lambda b: json.dumps(decode(bytes(b)), sort_keys=True, separators=(",", ":"), ensure_ascii=False))

@@ -57,6 +57,16 @@ def running(df: DataFrame, key: list[str], coarse: list[tuple[Column, bool]], or
     return groups.join(sums, same).withColumn(name, F.col("__before") + inside).select(*df.columns, name)
 
 
+def merged_pages(pages: list[DataFrame], key: list[str], size: int) -> DataFrame:
+    """Pages of several indexes as one: the least rows of all. Each index goes on after the last key of the whole page."""
+    return reduce(DataFrame.unionByName, pages).orderBy(*key).limit(size)
+
+
+def owned_merge(own: DataFrame, other: DataFrame, owner: str, node: str) -> DataFrame:
+    """Change logs of this node and of another: what the other says of entries that this node owns isn't believed."""
+    return own.unionByName(other.where(F.col(owner) != node))
+
+
 def take(df: DataFrame, taken: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """What is read destructively, and what is left."""
     return df.join(taken.select(*key).distinct(), key, "left_semi"), df.join(taken.select(*key).distinct(), key, "left_anti")

@@ -67,6 +67,22 @@ def token_bucket(requests: DataFrame, key: str, capacity: int, rate: float, orde
     return requests.select(key, *order).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
+def full(capacity: int) -> Column:
+    """A bucket's tokens after a reset."""
+    return F.lit(capacity)
+
+
+def peek(tokens: Column, since: Column, now: Column, capacity: int, rate: float) -> Column:
+    """Whole tokens that a bucket holds at a time; nothing is taken."""
+    return F.floor(F.least(F.lit(float(capacity)), tokens + (now - since) * rate)).cast("long")
+
+
+def wait(tokens: Column, since: Column, now: Column, capacity: int, rate: float, increment: int = 1) -> Column:
+    """Milliseconds until a request is allowed."""
+    held = F.least(F.lit(float(capacity)), tokens + (now - since) * rate)
+    return F.greatest(F.lit(0).cast("long"), F.ceil((increment - held) / rate).cast("long"))
+
+
 def bounded_queue(messages: DataFrame, queue: str, seq: str, size: str, most: int, most_bytes: int) -> DataFrame:
     """What each queue holds after all its messages came: the newest that fit both bounds."""
     newest = Window.partitionBy(queue).orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, 0)

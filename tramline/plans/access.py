@@ -110,7 +110,7 @@ def first_source(read, spark):
     return A.matching_sources(read("connections"), own).where("place = 1").select("conn", "cidr")
 
 
-@query("cidr_parts", "sources", f" SELECT DISTINCT cidr, CAST(string_split(cidr, '/')[2] AS BIGINT) AS mask, {ADDRESS.format(x="string_split(cidr, '/')[1]")} AS net FROM sources")
+@query("cidr_parts", "sources", f" SELECT DISTINCT cidr, CAST(string_split(cidr, '/')[2] AS BIGINT) AS mask, ({ADDRESS.format(x="string_split(cidr, '/')[1]")} >> (32 - CAST(string_split(cidr, '/')[2] AS INT))) << (32 - CAST(string_split(cidr, '/')[2] AS INT)) AS net FROM sources")
 def cidr_parts(read, spark):
     from ..functions import net
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,21 @@ def unpacked(text: Column) -> Column:
     """A JSON message array as (type, fields: name -> JSON text). Payload stays text until someone reads it."""
     parts = F.from_json(text, "array<string>")  # parsed once; elements that aren't strings stay JSON text
     code = F.try_element_at(parts, F.lit(1)).try_cast("int")
-    known = F.create_map(*(x for n, (name, names) in MESSAGES.items() for x in (F.lit(n), F.struct(F.lit(name).alias("type"), F.array(*map(F.lit, names.split())).alias("names")))))
-    kind = F.try_element_at(known, code)
-    n = F.least(F.size(kind["names"]), F.size(parts) - 1)
-    fields = F.map_filter(F.map_from_arrays(F.slice(kind["names"], F.lit(1), n), F.slice(parts, F.lit(2), n)), lambda _, v: v.isNotNull())
-    return F.struct(kind["type"].alias("type"), F.when(kind.isNotNull(), fields).alias("fields"))
+    cases = lambda of: reduce(lambda out, x: (out.when if out is not None else F.when)(code == x[0], of(*x[1])), MESSAGES.items(), None)
+    kind, names = cases(lambda name, _: F.lit(name)), F.split(cases(lambda _, fields: F.lit(fields)), " ")
+    n = F.least(F.size(names), F.size(parts) - 1)
+    fields = F.map_filter(F.map_from_arrays(F.slice(names, F.lit(1), n), F.slice(parts, F.lit(2), n)), lambda _, v: v.isNotNull())
+    return F.struct(kind.alias("type"), F.when(kind.isNotNull(), fields).alias("fields"))
+
+
+def packed(kind: str, fields: dict[str, Column]) -> Column:
+    """A message as a JSON array: its code, then its fields (JSON text) by position; missing ones behind the last are left off."""
+    code, names = next((n, names.split()) for n, (name, names) in MESSAGES.items() if name == kind)
+    if unknown := set(fields) - set(names):
+        raise ValueError(f"{kind} has no {', '.join(sorted(unknown))}")
+    last = max((i + 1 for i, n in enumerate(names) if n in fields), default=0)
+    parts = [F.coalesce(fields[n], F.lit("null")) if n in fields else F.lit("null") for n in names[:last]]
+    return F.concat(F.lit("["), F.concat_ws(",", F.lit(str(code)), *parts), F.lit("]"))
 
 
 def exposition(metrics: DataFrame, name: str, value: str, labels: list[str], kind: str = "counter") -> DataFrame:

@@ -30,17 +30,18 @@ CHANGES = """SELECT s_suppkey % 50 AS k, s_suppkey AS version, s_acctbal AS v, s
 CALLS = "SELECT o_orderkey AS call_id, concat('realm', o_custkey % 3) AS realm, o_custkey AS caller, o_orderkey % 1000 AS sent_ms, 30 + (o_orderkey % 7) * 10 AS timeout_ms, concat('node', o_orderkey % 4) AS callee FROM orders"
 RESPONSES = "SELECT l_orderkey AS call_id, concat('realm', o_custkey % 3) AS realm, l_orderkey % 1000 + l_partkey % 100 AS at_ms, l_returnflag = 'R' AS failed, l_suppkey AS payload FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1"
 
-#: Realms, groups, users, grants, sources: small on purpose, with an override, a diamond and an unknown group.
+#: Realms, groups, users, grants, sources: a few rows with an override, a diamond and an unknown group, then a row of the
+#: star schema each: nations are groups, customers users, suppliers hold grants, parts give ranges, orders connect.
 REALMS = "SELECT * FROM (VALUES ('base', NULL, 'sso.base'), ('shop', 'base', NULL), ('lab', 'base', 'sso.lab'), ('solo', NULL, NULL)) AS t(realm, prototype, sso)"
-GROUPS = "SELECT * FROM (VALUES ('base', 'staff', 'all,readers'), ('base', 'readers', ''), ('base', 'admins', 'staff'), ('shop', 'staff', 'sellers'), ('shop', 'sellers', 'readers'), ('lab', 'makers', 'staff,readers'), ('solo', 'root', '')) AS t(realm, name, member_of)"
-USERS = "SELECT * FROM (VALUES ('shop', 'ann', 'staff,ghost'), ('shop', 'bob', 'admins'), ('lab', 'cid', 'makers'), ('lab', 'dee', ''), ('solo', 'eve', 'root'), ('shop', 'ALIAS', 'alias')) AS t(realm, username, member_of)"
-GRANTS = "SELECT * FROM (VALUES ('base', 'group', 'readers', 'com.app', 'prefix', 'subscribe'), ('base', 'group', 'staff', 'com.app.view', 'exact', 'call,publish'), ('base', 'group', 'admins', '', 'prefix', 'call,register,subscribe,publish'), ('shop', 'group', 'sellers', 'com..purchase', 'wildcard', 'publish'), ('shop', 'user', 'ann', 'com.app.view', 'exact', 'register'), ('lab', 'group', 'makers', 'com.app.error', 'exact', 'call'), ('lab', 'user', 'dee', 'com.app', 'prefix', 'call'), ('shop', 'group', 'staff', 'com.app.view', 'exact', 'cancel')) AS t(realm, role_type, role, uri, policy, permissions)"
-SOURCES = "SELECT * FROM (VALUES ('shop', 'ann', '10.0.0.0/8', 'password'), ('shop', 'ann', '10.1.0.0/16', 'cryptosign'), ('shop', 'all', '0.0.0.0/0', 'anonymous'), ('shop', 'all', '10.1.2.0/24', 'ticket'), ('lab', 'cid', '192.168.1.0/24', 'password'), ('lab', 'all', '192.168.0.0/16', 'oauth2')) AS t(realm, username, cidr, method)"
-CONNECTIONS = "SELECT * FROM (VALUES (1, 'shop', 'ann', '10.1.2.3'), (2, 'shop', 'ann', '10.9.9.9'), (3, 'shop', 'bob', '10.1.2.9'), (4, 'lab', 'cid', '192.168.1.77'), (5, 'lab', 'dee', '192.168.9.1'), (6, 'shop', 'ann', '172.16.0.1')) AS t(conn, realm, username, ip)"
+GROUPS = "SELECT * FROM (VALUES ('base', 'staff', 'all,readers'), ('base', 'readers', ''), ('base', 'admins', 'staff'), ('shop', 'staff', 'sellers'), ('shop', 'sellers', 'readers'), ('lab', 'makers', 'staff,readers'), ('solo', 'root', '')) AS t(realm, name, member_of) UNION ALL SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'base' ELSE 'shop' END, concat('nation', n_nationkey), CASE WHEN n_nationkey < 3 THEN 'staff' ELSE concat('nation', cast(floor(n_nationkey / 3) as bigint), ',readers') END FROM nation"
+USERS = "SELECT * FROM (VALUES ('shop', 'ann', 'staff,ghost'), ('shop', 'bob', 'admins'), ('lab', 'cid', 'makers'), ('lab', 'dee', ''), ('solo', 'eve', 'root'), ('shop', 'ALIAS', 'alias')) AS t(realm, username, member_of) UNION ALL SELECT CASE WHEN c_custkey % 7 = 0 THEN 'lab' ELSE 'shop' END, concat('c', c_custkey), CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('nation', c_nationkey) WHEN 2 THEN concat('sellers,nation', c_nationkey) ELSE 'staff,ghost' END FROM customer"
+GRANTS = "SELECT * FROM (VALUES ('base', 'group', 'readers', 'com.app', 'prefix', 'subscribe'), ('base', 'group', 'staff', 'com.app.view', 'exact', 'call,publish'), ('base', 'group', 'admins', '', 'prefix', 'call,register,subscribe,publish'), ('shop', 'group', 'sellers', 'com..purchase', 'wildcard', 'publish'), ('shop', 'user', 'ann', 'com.app.view', 'exact', 'register'), ('lab', 'group', 'makers', 'com.app.error', 'exact', 'call'), ('lab', 'user', 'dee', 'com.app', 'prefix', 'call'), ('shop', 'group', 'staff', 'com.app.view', 'exact', 'cancel')) AS t(realm, role_type, role, uri, policy, permissions) UNION ALL SELECT 'shop', CASE WHEN s_suppkey % 3 = 0 THEN 'group' ELSE 'user' END, CASE WHEN s_suppkey % 3 = 0 THEN concat('nation', s_nationkey) ELSE concat('c', s_suppkey) END, CASE s_suppkey % 3 WHEN 0 THEN 'com.app' WHEN 1 THEN 'com.app.error' ELSE 'com..view' END, CASE s_suppkey % 3 WHEN 0 THEN 'prefix' WHEN 1 THEN 'exact' ELSE 'wildcard' END, CASE WHEN s_suppkey % 2 = 0 THEN 'call,subscribe' ELSE 'publish' END FROM supplier"
+SOURCES = "SELECT * FROM (VALUES ('shop', 'ann', '10.0.0.0/8', 'password'), ('shop', 'ann', '10.1.0.0/16', 'cryptosign'), ('shop', 'all', '0.0.0.0/0', 'anonymous'), ('shop', 'all', '10.1.2.0/24', 'ticket'), ('lab', 'cid', '192.168.1.0/24', 'password'), ('lab', 'all', '192.168.0.0/16', 'oauth2')) AS t(realm, username, cidr, method) UNION ALL SELECT 'shop', concat('c', s_suppkey), concat('10.', s_suppkey % 8, '.', s_nationkey, '.0/', 16 + s_suppkey % 9), 'ticket' FROM supplier"
+CONNECTIONS = "SELECT * FROM (VALUES (1, 'shop', 'ann', '10.1.2.3'), (2, 'shop', 'ann', '10.9.9.9'), (3, 'shop', 'bob', '10.1.2.9'), (4, 'lab', 'cid', '192.168.1.77'), (5, 'lab', 'dee', '192.168.9.1'), (6, 'shop', 'ann', '172.16.0.1')) AS t(conn, realm, username, ip) UNION ALL SELECT o_orderkey + 100, 'shop', concat('c', o_custkey % 100 + 1), concat('10.', (o_custkey % 100 + 1) % 8, '.', o_orderkey % 25, '.', o_orderkey % 250) FROM orders"
 
 SPARK_MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 TEXTS = {"messages": MESSAGES, "entries": ENTRIES, "changes": CHANGES, "calls": CALLS, "responses": RESPONSES, "realms": REALMS, "groups": GROUPS, "users": USERS, "grants": GRANTS, "sources": SOURCES, "connections": CONNECTIONS}
-USED = {"messages": ["events"], "entries": ["customer"], "changes": ["supplier"], "calls": ["orders"], "responses": ["lineitem", "orders"]}
+USED = {"messages": ["events"], "entries": ["customer"], "changes": ["supplier"], "calls": ["orders"], "responses": ["lineitem", "orders"], "groups": ["nation"], "users": ["customer"], "grants": ["supplier"], "sources": ["supplier"], "connections": ["orders"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
