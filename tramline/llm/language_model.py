@@ -322,12 +322,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = written(lessons.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(b" "), F.col("n"))).alias("ends")).first()
     n_all, n_distinct, ends = total["n"] or 0, total["v"], total["ends"] or 0
-    # the commonest words are those above a frequency; frequencies are told apart in 64 steps an octave, 4,096 in all
-    counts = counts.where(F.col("word") != F.lit(b" ")).withColumn("step", F.expr("cast(floor(log2(n) * 64) as int)"))
+    # the commonest words are those above a frequency; frequencies are told apart in 64 steps an octave, 4,096 in all. Of
+    # the step that doesn't fit as a whole, words go in by the rank of their hash in 65,536 parts, as far as they fit.
+    part = F.pmod(F.xxhash64("word", F.lit(1)), F.lit(1 << 16)).cast("int")
+    counts = counts.where(F.col("word") != F.lit(b" ")).withColumn("step", F.expr("cast(floor(log2(n) * 64) as int)")).withColumn("part", part)
     steps = sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True)
-    fits = [step for (step, _), held in zip(steps, np.cumsum([c for _, c in steps]), strict=True) if held <= HEAD]
-    least = fits[-1] if fits else 1 << 30
-    top = counts.where(F.col("step") >= least).select("word", "n").toArrow()
+    sums = np.cumsum([c for _, c in steps])
+    fitting = int((sums <= HEAD).sum())
+    last, room = (steps[fitting][0], HEAD - int(sums[fitting - 1] if fitting else 0)) if fitting < len(steps) else (-1, 0)
+    parts = sorted((r["part"], r["count"]) for r in counts.where(F.col("step") == last).groupBy("part").count().collect())
+    below = parts[int((np.cumsum([c for _, c in parts]) <= room).sum())][0] if parts else 0
+    common = (F.col("step") > last) | ((F.col("step") == last) & (F.col("part") < below))
+    top = counts.where(common).select("word", "n").toArrow()
     words, n = top.column("word").to_pylist(), top.column("n").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     words, n = [words[i] for i in order], n[order]
@@ -441,7 +447,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], ["row", "key"])
 
     # words beyond the commonest have their counts joined
-    beyond = counts.where(F.col("step") < least)
+    beyond = counts.where(~common)
     beyond = beyond.select(F.xxhash64("word").alias("key"), F.log10(F.col("n") + 1).alias("log")).groupBy("key").agg(F.max("log").alias("log"))
     found = scored.select("row", "others").where(F.length("others") > 0).mapInArrow(unpack, "row long, key long")
     added = found.join(beyond, "key").groupBy("row").agg(F.sum("log").alias("log"), F.count(F.lit(1)).alias("known"))
