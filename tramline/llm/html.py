@@ -15,9 +15,9 @@ from .words import slices
 # Fixed values of the HTML standard: elements by how they nest and how they are shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript noembed noframes iframe datalist object audio video canvas svg math title xmp select".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary ul table caption tr".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure fieldset hr".split())
+HIDDEN = frozenset("head script style template noscript noembed noframes iframe datalist object audio video canvas title defs metadata desc annotation annotation-xml rp".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p plaintext pre search section summary ul table caption tr xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre xmp table figure fieldset hr".split())
 #: Starting one of these ends an open one of those, up to the nearest of the limits.
 LIST, TABLE = frozenset("ul ol menu dir".split()), frozenset(["table"])
 ENDS = {
@@ -36,18 +36,22 @@ HOLDS = {"head": HEAD_ONLY, "colgroup": frozenset(["col", "template"])}
 
 TOKEN = re.compile(r"<!--(?:(?!-->).)*(?:-->|\Z)|<(?:!|\?|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Elements that may be open at once; deeper ones become children of the deepest.
 DEEPEST = 256
 
 
 class Node:
-    __slots__ = ("children", "down", "hidden", "ordinal", "span", "tag")
+    """`hidden`: not displayed, with all it holds. `shown`: visible; those inside may be otherwise. `chosen`: an option
+    that is selected, or a select that shows all of its options, or details that are open."""
 
-    def __init__(self, tag: str, hidden: bool = False):
-        self.tag, self.hidden, self.children, self.ordinal, self.span = tag, hidden, [], None, 1
-        self.down = 1
+    __slots__ = ("children", "chosen", "down", "hidden", "ordinal", "shown", "span", "tag")
+
+    def __init__(self, tag: str, hidden: bool = False, shown: bool = True):
+        self.tag, self.hidden, self.shown, self.children, self.ordinal, self.span = tag, hidden, shown, [], None, 1
+        self.down, self.chosen = 1, False
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -62,6 +66,7 @@ def tree(html: str) -> Node:
     """Elements with their implied starts and ends; comments and declarations are dropped."""
     root = Node("html")
     stack = [root]
+    beyond: list[str] = []  # open elements that aren't on the stack, which is full
 
     def end(tags, limits) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -83,7 +88,8 @@ def tree(html: str) -> Node:
         if text:
             if text.strip():
                 leave("")
-            stack[-1].children.append(unescape(text))
+            if stack[-1].shown:
+                stack[-1].children.append(unescape(text))
         if not m:
             break
         at = m.end()
@@ -91,7 +97,9 @@ def tree(html: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag in beyond:
+                del beyond[len(beyond) - 1 - beyond[::-1].index(tag) :]
+            elif tag == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].children.append(Node("p"))  # an end tag alone is an empty paragraph
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -100,6 +108,7 @@ def tree(html: str) -> Node:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         del stack[i:]
+                        beyond.clear()
                         break
                     if stack[i].tag in limits:
                         break
@@ -112,23 +121,31 @@ def tree(html: str) -> Node:
         if tag in ENDS:
             end(*ENDS[tag])
         a = attributes(m[3])
-        node = Node(tag, tag in HIDDEN or "hidden" in a or bool(GONE.search(a.get("style", ""))) or a.get("aria-hidden", "").lower() == "true" or (tag == "dialog" and "open" not in a))
+        style = a.get("style", "")
+        seen = VISIBILITY.search(style)
+        shown = seen[1].lower() == "visible" if seen and seen[1].lower() in ("visible", "hidden", "collapse") else stack[-1].shown
+        node = Node(tag, tag in HIDDEN or "hidden" in a or bool(GONE.search(style)) or (tag == "dialog" and "open" not in a) or (tag == "input" and a.get("type", "").lower() == "hidden"), shown)
+        node.chosen = "selected" in a or "multiple" in a or "open" in a
         if tag in ("td", "th"):
             node.span, node.down = number(a.get("colspan"), 1, 100, 1), number(a.get("rowspan"), 0, 65534, 1)
         elif tag == "ol":
             node.ordinal = number(a.get("start"), -(10**6), 10**6, 1)
         elif tag == "li" and "value" in a:
             node.ordinal = number(a["value"], -(10**6), 10**6, 1)
-        elif tag == "img" and a.get("alt"):
+        elif tag == "img" and a.get("alt") and shown:
             node.children.append(a["alt"])
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(html, at)
             body, at = (html[at : close.start()], close.end()) if close else (html[at:], size)
-            if not node.hidden:
-                node.children.append(unescape(body))
-        elif tag not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
+            if not node.hidden and shown:
+                node.children.append(body if tag == "xmp" else unescape(body))
+        elif tag not in VOID and not (m[3].endswith("/") and any(x.tag in ("svg", "math") for x in stack)):
+            # an element that isn't displayed is put on a full stack too, once, so that what it holds stays hidden
+            if len(stack) < DEEPEST or (len(stack) == DEEPEST and node.hidden):
+                stack.append(node)
+            else:
+                beyond.append(tag)
     return root
 
 
@@ -259,6 +276,15 @@ def table(node: Node) -> list[str]:
     return out
 
 
+def walk(node: Node):
+    """The elements of a select, those of its groups too."""
+    for c in node.children:
+        if not isinstance(c, str) and not c.hidden:
+            yield c
+            if c.tag == "optgroup":
+                yield from walk(c)
+
+
 def rendered(children: list) -> list[str]:
     out = Lines()
 
@@ -279,7 +305,16 @@ def rendered(children: list) -> list[str]:
                 out.box(table(x), 2)
             elif x.tag in ("ul", "ol", "menu", "dir"):
                 show_list(x)
-            elif x.tag == "pre":
+            elif x.tag == "select":
+                options = [o for o in walk(x) if o.tag == "option" and not o.hidden]
+                for i, o in enumerate(options if x.chosen else [o for o in options if o.chosen][-1:] or options[:1]):
+                    out.text(" " * bool(i))
+                    show(o.children, plain, state)
+            elif x.tag == "details" and not x.chosen:
+                out.block(1)
+                show(next(([c] for c in x.children if not isinstance(c, str) and c.tag == "summary"), []), plain, state)
+                out.block(1)
+            elif x.tag in ("pre", "xmp"):
                 out.block(2)
                 show([x.children[0].removeprefix("\n"), *x.children[1:]] if x.children and isinstance(x.children[0], str) else x.children, True, state)
                 out.block(2)
@@ -303,7 +338,7 @@ def rendered(children: list) -> list[str]:
                 lines += rendered([c]) if isinstance(c, str) else []
             elif c.tag == "li":
                 number_now = c.ordinal if c.ordinal is not None else number_now
-                mark = f"{number_now}. " if x.tag == "ol" else "* "
+                mark = (f"{number_now}. " if x.tag == "ol" else "* ") if c.shown else ""
                 number_now += 1
                 inner = rendered(c.children)
                 lines += [(mark if i == 0 else " " * len(mark)) + line if line else "" for i, line in enumerate(inner or [""])]
@@ -323,10 +358,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """Id and `text`: all visible text of each page, as a reader would see it.
 
     Implied tags are supplied (paragraphs, list items, cells, rows, head and body), elements that aren't shown are left
-    out (head, scripts, templates, `hidden`, display:none, visibility:hidden, aria-hidden), blocks stand on lines of
+    out (head, scripts, templates, fallbacks, `hidden`, display:none, closed dialogs, the body of closed details, options
+    that aren't shown), visibility is inherited and may be set again inside, aria-hidden text is shown; blocks stand on lines of
     their own with a blank line around paragraphs, headings, lists and tables, list items carry marks and cells stand in
     columns. Null and empty pages give an empty text; broken or cut-off markup is read as far as it goes, nesting beyond
-    DEEPEST is flattened; null and repeated ids are kept row by row; other columns aren't read. No shuffle.
+    DEEPEST is flattened (hidden elements stay hidden); null and repeated ids are kept row by row; other columns aren't read. No shuffle.
     """
 
     def run(batches):
