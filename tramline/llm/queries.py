@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import bpe, html, jaccard, language_model, neighbours, packing, quality, sharding, substring, tokencount
+from .sql import ORACLE_SQL
 
 QUERIES = {
     "op1_lm_scoring": language_model.op1_lm_scoring,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
