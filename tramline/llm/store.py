@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         app = spark.sparkContext.applicationId
         if app not in _own:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             _own[app] = "file://" + tempfile.mkdtemp(prefix="tramline-")
         folder = _own[app]
