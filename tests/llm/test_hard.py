@@ -1,5 +1,7 @@
 """Hard inputs: long runs of white space, ties, several blocks, hot keys, odd rows through the whole pipeline."""
 
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -95,6 +97,34 @@ def test_crowds_are_exact(spark, docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()} == want
 
 
+def test_hot_keys_are_exact(spark, docs, monkeypatch):
+    want = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()}
+    for name, value in (("HOT", 1), ("BLOCK", 2)):  # all keys are salted, and met block by block
+        monkeypatch.setattr(jaccard, name, value)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()} == want
+
+
+@pytest.mark.parametrize("families,steps,common,again", [(8, 25, 25, True), (40, 5, 0, False)])
+def test_regions_are_cut_again(spark, monkeypatch, families, steps, common, again):
+    """Families of sets that drift apart step by step, all in one region: cut more than once where that helps, and exact."""
+    rng, rows, levels = random.Random(5), [], []
+    for family in range(families):
+        words = [f"w{i}" if i < common else f"f{family}w{i}" for i in range(40)]
+        for _ in range(steps):
+            words[rng.randrange(40)] = f"n{len(rows)}"
+            rows.append((len(rows) * 7 % 1009, 5, " ".join(words).encode()))
+    members = spark.createDataFrame(rows, "doc long, region long, text binary")
+    monkeypatch.setattr(jaccard, "LIMIT", 6)
+    inner = jaccard.measured_to_pivots
+    monkeypatch.setattr(jaccard, "measured_to_pivots", lambda m, level, *rest: levels.append(level) or inner(m, level, *rest))
+    got = {r.node: r.root for r in graph.components(jaccard.large_regions(members, 90, 1)).collect()}
+    assert (max(levels) > 0) == again
+    sets, root = {d: set(t.split()) for d, _, t in rows}, {d: d for d, _, _ in rows}
+    for _ in range(steps):  # least id within reach
+        root = {a: min(root[b] for b, y in sets.items() if len(x & y) * 100 >= 90 * len(x | y)) for a, x in sets.items()}
+    assert {d: r for d, r in root.items() if d != r} == got
+
+
 def test_one_id_links_its_sets(spark):
     w = lambda n, p: " ".join(f"{p}{i}" for i in range(n))
     near = w(100, "b").replace("b99", "other")

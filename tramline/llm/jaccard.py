@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import written
+from .store import MOST_HOT, join_hot, written
 from .words import WordHashes, hashes, mixed, slices, texts, windows
 
 #: Words of a shingle; two sets link at a Jaccard similarity of PERCENT or more.
 WORDS, PERCENT = 3, 90
 #: Different sets that one task joins; larger regions are cut around pivots, REGION_PIVOTS at a time.
 LIMIT, REGION_PIVOTS = 1000, 16
-#: Sets under one key that are compared with each other before regions are formed; more are linked unseen.
-CROWD = 2000
+#: Sets under one key that are compared with each other before regions are formed, BLOCK of them with BLOCK others in a
+#: task; more are linked unseen.
+CROWD, BLOCK = 2000, 256
+#: Parts into which keys are salted that HOT or more of a 16th of the rows have.
+SALTS, HOT = 64, 16
 #: Documents of a region below which all are compared, and pivots of a region inside a task.
 LEAF, PIVOTS = 16, 4
 
@@ -223,8 +226,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        similar sets must. Cutting the whole corpus around pivots by Jaccard distance instead would
        copy every document to every region: unrelated documents are all at distance 1, within any window.
     3. Regions of up to LIMIT sets are joined in a task (`join_region`). Larger ones are cut around pivots over many
-       tasks: documents linked to pivots that are linked among themselves are one group and need no comparing; each other
-       document goes to all Voronoi regions within its window, and meets their documents in blocks.
+       tasks, and so are their parts (`large_regions`).
 
     Null and empty texts have no shingles and link with nothing. Null ids are left alone (component null), rows with the
     same id count as linked, repeated rows come back repeated, long texts are read whole, an empty table gives no rows.
@@ -249,52 +251,68 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # equal sets are one node, by the first half of their name: a task deals the keys of one of its copies, and sets that
     # share a name by chance merely meet in more places
 
-    def unpack(batches):
-        seen: set = set()
-        for batch in batches:
-            if len(seen) > 10**6:
-                seen.clear()
-            names = batch.column(0).to_numpy()
-            fresh = [i for i, x in enumerate(names.tolist()) if x not in seen and not seen.add(x)]
-            for step in (0, 1):
-                keys = [np.frombuffer(k, np.int64) for k in batch.column(1 + step).take(pa.array(fresh, pa.int64())).to_pylist()]
-                n = [len(k) for k in keys]
-                if sum(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(names[fresh] & -2 | step, n))], ["key", "node"])
-
-    dealt = present.select("one", "keys0", "keys1").mapInArrow(unpack, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    def unpack(hot=np.empty(0, np.int64)):
+        def emit(batches):
+            seen: set = set()
+            for batch in batches:
+                if len(seen) > 10**6:
+                    seen.clear()
+                names, ids = (batch.column(c).to_numpy() for c in (0, 1))
+                fresh = [i for i, x in enumerate(names.tolist()) if x not in seen and not seen.add(x)]
+                salts = (mixed(ids[fresh].view(np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1
+                for step in (0, 1):
+                    keys = [np.frombuffer(k, np.int64) for k in batch.column(2 + step).take(pa.array(fresh, pa.int64())).to_pylist()]
+                    n = [len(k) for k in keys]
+                    if sum(n):
+                        flat = np.concatenate(keys)
+                        salt = np.where(np.isin(flat, hot), np.repeat(salts, n), 0).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(names[fresh] & -2 | step, n)), pa.array(salt)], ["key", "node", "salt"])
+
+        return emit
+
+    # which keys are hot is estimated from a 16th of the rows; it decides where rows go, and no result
+    kind, signed = "key long, node long, salt int", present.select("one", "doc", "keys0", "keys1")
+    found = signed.where("pmod(xxhash64(doc), 16) = 0").mapInArrow(unpack(), kind).groupBy("key").count().where(F.col("count") >= HOT)
+    hot = np.array(sorted(r["key"] for r in found.orderBy(F.desc("count"), "key").limit(MOST_HOT).collect()), np.int64)
+    dealt = signed.mapInArrow(unpack(hot), kind).repartition("key", "salt").sortWithinPartitions("key", "salt", "node").select("key", "node", "salt")
 
     def shared(batches):
-        """Keys with several nodes, named by their nodes: what similar documents share under many keys is met once."""
-        key, node, large = np.empty(0, np.int64), np.empty(0, np.int64), None
+        """Keys with several nodes, named by their nodes: what similar documents share under many keys is met once. Hot
+        keys are in several tasks, so they are named by themselves."""
+        key, node, salt, large = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), None
 
         def out(end: int):
             head = np.flatnonzero(np.append(True, key[1:end] != key[: end - 1]))
             size = np.diff(np.append(head, end))
             name = mixed(np.add.reduceat(mixed(node[:end].astype(np.uint64) + np.uint64(1)), head) + size.astype(np.uint64)).view(np.int64)
-            one = key[head] == large if large is not None else np.zeros(len(head), bool)
+            one = salt[head] > 0
+            if large is not None:
+                one |= key[head] == large
             name[one] = mixed(key[head][one].view(np.uint64)).view(np.int64)
             use = np.repeat((size > 1) | one, size)
             pair = np.unique(np.stack([np.repeat(name, size)[use], node[:end][use]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["key", "node"])
 
         for batch in batches:
-            key, node = np.append(key, batch.column(0).to_numpy()), np.append(node, batch.column(1).to_numpy())
+            key, node, salt = (np.append(x, batch.column(c).to_numpy()) for c, x in enumerate((key, node, salt)))
             # the last key waits for the next batch; one that grows beyond any crowd is named by itself, and goes on
             end = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if len(key) - end > 50 * CROWD:
                 large, end = key[-1], len(key)
             if end:
                 yield from out(end)
-                key, node = key[end:], node[end:]
+                key, node, salt = key[end:], node[end:], salt[end:]
         if len(key):
             yield from out(len(key))
 
     meeting = written(dealt.mapInArrow(shared, "key long, node long").distinct(), "meeting")
-    crowds = written(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > CROWD), "crowds")
+    several = written(meeting.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > min(BLOCK, CROWD)), "crowds")
+    crowds = several.where(F.col("size") > CROWD)
     step = lambda i: F.struct(F.col("one").bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(i)).alias("node"), F.col(f"prints{i}").alias("prints"), F.col(f"need{i}").alias("need"))
     nodes = sets.select("doc", F.explode(F.array(step(0), step(1))).alias("x")).select("doc", "x.*").where(F.length("prints") > 0)
-    few = meeting.join(crowds.select("key"), "key", "left_anti").join(nodes, "node").select("key", "doc", "need", "prints").repartition("key").sortWithinPartitions("key", "doc")
+    few = meeting.join(crowds.select("key"), "key", "left_anti").join(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key", "left").join(nodes, "node")
+    few = few.withColumn("own", F.expr("cast(pmod(xxhash64(doc), coalesce(blocks, 1)) as int)")).withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
+    few = few.withColumn("key", F.expr("if(blocks > 1, xxhash64(key, least(own, other), greatest(own, other)), key)")).select("key", "doc", "need", "prints").repartition("key").sortWithinPartitions("key", "doc")
 
     def agreeing(batches):
         out: set = set()
@@ -319,7 +337,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = coarse.select(F.col("node").alias("doc"), F.col("root").alias("region")).unionByName(coarse.select(F.col("root").alias("doc"), F.col("root").alias("region")).distinct())
     sizes = written(placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "sizes")
     many = sizes.where(F.col("size") > LIMIT).count()
-    placed = placed.join(sizes, "region")
+    placed = join_hot(placed, sizes.withColumn("rows", F.col("size")), "region", "rows")
     in_region = read.where("doc is not null").join(placed, "doc")
 
     def join_small(batches):
@@ -361,71 +379,48 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def large_regions(members: DataFrame, percent: int, words: int) -> DataFrame:
-    """Links (`hi`, `lo`) of the regions with more than LIMIT sets: members has region, doc, text and size."""
-    radius = (100 - percent) / 100
-    members = written(members.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc, 1), ceil(size / {LIMIT})) as int)")), "region")
-    chosen = members.select("region", "doc", "text", "size", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("doc"), "doc", "text")).alias("k")).where(F.col("k") <= REGION_PIVOTS)
-    pivots = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("k", "doc", "text"))).alias("pivots"), F.first("size").alias("size"))
-    pivots = pivots.withColumn("part", F.explode(F.expr(f"sequence(0, cast(ceil(size / {LIMIT}) as int) - 1)"))).select("region", "part", "pivots")
+    """Links (`hi`, `lo`) of the regions with more than LIMIT sets: members has region, doc and text.
 
-    def measure(batches):
-        table, seen = WordHashes(), {}
-        for batch in batches:
-            for region, doc, text, pivots in zip(*(batch.column(c).to_pylist() for c in ("region", "doc", "text", "pivots")), strict=True):
-                if region not in seen:
-                    seen.clear()
-                    seen[region] = Index(shingle_sets([p["text"] or b"" for p in pivots], table, words)), [p["doc"] for p in pivots]
-                index, ids = seen[region]
-                s = shingle_sets([text or b""], table, words)[0]
-                far, links = index.near(s, percent)
-                mask = sum(1 << i for i, x in enumerate(links.tolist()) if x)
-                yield_row.append((region, doc, text, far.tolist(), mask, ids))
-                if len(yield_row) >= 500:
-                    yield flush()
-        yield flush()
-
-    yield_row: list = []
-
-    def flush():
-        rows = list(yield_row)
-        yield_row.clear()
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["region", "doc", "text", "far", "mask", "pivots"])
-
-    measured = written(members.select("region", "part", "doc", "text").join(pivots, ["region", "part"]).sortWithinPartitions("region").mapInArrow(measure, "region long, doc long, text binary, far array<double>, mask int, pivots array<long>"), "measured")
-    to_pivots = measured.select("doc", F.explode(F.expr("transform(filter(sequence(0, size(pivots) - 1), i -> getbit(mask, i) = 1), i -> pivots[i])")).alias("lo")).where("doc <> lo").select(F.col("doc").alias("hi"), "lo")
-
-    # pivots that share a document are linked; the masks of a region are 2^REGION_PIVOTS at most
-    def main(key, pdf):
-        import pandas as pd
-
-        groups: list[list] = []
-        for mask, n in zip(pdf["mask"].tolist(), pdf["n"].tolist(), strict=True):
-            if mask:
-                hit = [g for g in groups if g[0] & mask]
-                groups = [g for g in groups if not g[0] & mask]
-                groups.append([mask | sum_or(g[0] for g in hit), n + sum(g[1] for g in hit)])
-        best = max(groups, key=lambda g: g[1], default=[0, 0])
-        return pd.DataFrame({"region": [key[0]], "main": [best[0]]})
-
-    def sum_or(xs):
-        out = 0
-        for x in xs:
-            out |= x
-        return out
-
-    mains = measured.groupBy("region", "mask").agg(F.count(F.lit(1)).alias("n")).groupBy("region").applyInPandas(main, "region long, main int")
-    cells = measured.join(mains, "region")
-    near = F.expr("cast(array_position(far, array_min(far)) - 1 as int)")
-    data = cells.select("region", near.alias("cell"), "doc", "text")
-    query = cells.where("(mask & main) = 0").select("region", F.explode(F.expr(f"filter(transform(far, (d, i) -> if(d <= array_min(far) + {2 * radius + 1e-9}, cast(i as int), null)), i -> i is not null)")).alias("cell"), "doc", "text")
-    blocks = data.groupBy("region", "cell").agg(F.expr(f"cast(ceil(count(1) / {LIMIT}) as int)").alias("rows"))
-    asked = query.groupBy("region", "cell").agg(F.expr(f"cast(ceil(count(1) / {LIMIT}) as int)").alias("asks"))
-    grid = blocks.join(asked, ["region", "cell"])
-    meet = data.join(grid, ["region", "cell"]).withColumn("row", F.expr("cast(pmod(xxhash64(doc), rows) as int)")).withColumn("ask", F.explode(F.expr("sequence(0, asks - 1)"))).select("region", "cell", "row", "ask", F.lit(0).alias("kind"), "doc", "text")
-    come = query.join(grid, ["region", "cell"]).withColumn("ask", F.expr("cast(pmod(xxhash64(doc), asks) as int)")).withColumn("row", F.explode(F.expr("sequence(0, rows - 1)"))).select("region", "cell", "row", "ask", F.lit(1).alias("kind"), "doc", "text")
-    tasks = meet.unionByName(come).withColumn("task", F.xxhash64("region", "cell", "row", "ask")).select("task", "kind", "doc", "text").repartition("task").sortWithinPartitions("task", "kind", "doc")
+    A region is cut around REGION_PIVOTS of its sets. Sets linked to the main group of linked pivots are `known`: they are
+    one group, need no comparing among themselves, and go to the part of their nearest pivot; each other set goes to all
+    parts within its window. By the triangle inequality a part then holds every link that it has to find, so it is a region
+    of its own, cut in the same way around new pivots, as long as a cut halves the comparisons left at least. Regions in
+    which all sets are known are done; small ones, and those that a cut doesn't help, are compared in blocks of LIMIT.
+    """
+    radius, found, leaves, level = (100 - percent) / 100, [], [], 0
+    fields = ["region", "doc", "text", "known"]
+    members = written(members.select(*fields[:3], F.lit(False).alias("known")), "region")
+    many = F.col("rows") * F.col("asks") > LIMIT * LIMIT
+    weigh = [F.count(F.lit(1)).alias("rows"), F.sum(F.expr("cast(not known as long)")).alias("asks")]
+    while True:
+        sized = members.groupBy("region").agg(*weigh).where("asks > 0").withColumn("n", F.col("rows"))
+        sized = written(sized, "sizes")
+        leaves.append(join_hot(members, sized.where(~many), "region", "n"))
+        if not sized.where(many).limit(1).count():
+            break
+        measured, links = measured_to_pivots(join_hot(members, sized.where(many), "region", "n"), level, percent, words)
+        found.append(links)
+        mains = measured.groupBy("region", "mask").agg(F.count(F.lit(1)).alias("n")).groupBy("region").applyInPandas(main_group, "region long, main int, n long")
+        cells = join_hot(measured, written(mains, "mains"), "region", "n").withColumn("known", F.expr("(mask & main) <> 0"))
+        window = F.expr(f"if(known, array(cast(array_position(far, array_min(far)) - 1 as int)), filter(transform(far, (d, i) -> if(d <= array_min(far) + {2 * radius + 1e-9}, cast(i as int), null)), i -> i is not null))")
+        cells = cells.withColumn("cells", window)
+        parts = cells.select("region", "known", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(*weigh)
+        after = parts.groupBy("region").agg(F.sum(F.col("rows") * F.col("asks")).alias("after"))
+        verdict = cells.groupBy("region").agg(*weigh).where("asks > 0").join(after, "region").withColumn("n", F.col("rows"))
+        verdict = written(verdict.withColumn("leaf", ~many | (F.col("after") * 2 > F.col("rows") * F.col("asks"))), "verdict")
+        leaves.append(join_hot(cells, verdict.where("leaf"), "region", "n").select(*fields, "rows", "asks"))
+        if not verdict.where("not leaf").limit(1).count():
+            break
+        cut = join_hot(cells, verdict.where("not leaf").select("region", "n"), "region", "n").select(*fields, F.explode("cells").alias("cell"))
+        members, level = written(cut.withColumn("region", F.expr("xxhash64(region, cell)")).select(*fields), "region"), level + 1
+
+    held = leaves[0].select(*fields, "rows", "asks")
+    for leaf in leaves[1:]:
+        held = held.unionByName(leaf.select(*fields, "rows", "asks"))
+    held = held.selectExpr("region", "doc", "text", "known", f"cast(ceil(rows / {LIMIT}) as int) as rows", f"cast(ceil(asks / {LIMIT}) as int) as asks")
+    meet = held.withColumn("row", F.expr("cast(pmod(xxhash64(doc), rows) as int)")).withColumn("ask", F.explode(F.expr("sequence(0, asks - 1)"))).withColumn("kind", F.lit(0))
+    come = held.where("not known").withColumn("ask", F.expr("cast(pmod(xxhash64(doc), asks) as int)")).withColumn("row", F.explode(F.expr("sequence(0, rows - 1)"))).withColumn("kind", F.lit(1))
+    tasks = meet.unionByName(come).select(F.xxhash64("region", "row", "ask").alias("task"), "kind", "doc", "text").repartition("task").sortWithinPartitions("task", "kind", "doc")
 
     def ask(batches):
         table = WordHashes()
@@ -441,7 +436,60 @@ def large_regions(members: DataFrame, percent: int, words: int) -> DataFrame:
                         forest.join(i, held[j])
             yield _links(stars(ids, forest))
 
-    return to_pivots.unionByName(tasks.mapInArrow(ask, "hi long, lo long"))
+    out = tasks.mapInArrow(ask, "hi long, lo long")
+    for links in found:
+        out = out.unionByName(links)
+    return out
+
+
+def measured_to_pivots(members: DataFrame, level: int, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Each set's distances to its region's pivots, and which of them it links to (`mask`; the bit after those of the
+    pivots says known); and these links. Pivots are drawn by hash, first among sets that aren't known."""
+    order = Window.partitionBy("region").orderBy("known", F.xxhash64("doc", F.lit(level)), "doc", "text")
+    chosen = members.select("region", "rows", "known", "doc", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= REGION_PIVOTS)
+    pivots = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("k", "doc", "text"))).alias("pivots"), F.first("rows").alias("rows"))
+    pivots = pivots.withColumn("part", F.explode(F.expr(f"sequence(0, cast(ceil(rows / {LIMIT}) as int) - 1)"))).select("region", "part", "pivots")
+    dealt = members.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc, 1), ceil(rows / {LIMIT})) as int)")).select("region", "part", "doc", "text", "known")
+
+    def measure(batches):
+        table, now, index, ids, out = WordHashes(), None, None, [], []
+        kinds = {"region": pa.int64(), "doc": pa.int64(), "text": pa.binary(), "far": pa.list_(pa.float64()), "mask": pa.int32(), "pivots": pa.list_(pa.int64())}
+        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+        for batch in batches:
+            for region, doc, text, known, pivots in zip(*(batch.column(c).to_pylist() for c in ("region", "doc", "text", "known", "pivots")), strict=True):
+                if region != now:
+                    now, index, ids = region, Index(shingle_sets([p["text"] or b"" for p in pivots], table, words)), [p["doc"] for p in pivots]
+                s = shingle_sets([text or b""], table, words)[0]
+                if not len(s):  # a further row of an id, without words
+                    continue
+                far, links = index.near(s, percent)
+                mask = sum(1 << i for i, x in enumerate(links.tolist()) if x) | known << REGION_PIVOTS
+                out.append((region, doc, text, far.tolist(), mask, ids))
+                if len(out) >= 500:
+                    yield flush(out)
+                    out = []
+        yield flush(out)
+
+    measured = dealt.join(pivots, ["region", "part"]).sortWithinPartitions("region").mapInArrow(measure, "region long, doc long, text binary, far array<double>, mask int, pivots array<long>")
+    measured = written(measured, "measured")
+    links = measured.select("doc", F.explode(F.expr("transform(filter(sequence(0, size(pivots) - 1), i -> getbit(mask, i) = 1), i -> pivots[i])")).alias("lo"))
+    return measured, links.where("doc <> lo").select(F.col("doc").alias("hi"), "lo")
+
+
+def main_group(key, pdf):
+    """The group of pivots, linked by sets that they share, with the most sets; a region has 2^(REGION_PIVOTS + 1) masks at
+    most."""
+    import pandas as pd
+
+    groups: list[list] = []
+    for mask, n in zip(pdf["mask"].tolist(), pdf["n"].tolist(), strict=True):
+        if mask:
+            joined = [mask, n]
+            for g in [g for g in groups if g[0] & mask]:
+                joined = [joined[0] | g[0], joined[1] + g[1]]
+            groups = [g for g in groups if not g[0] & mask] + [joined]
+    best = max(groups, key=lambda g: g[1], default=[0, 0])
+    return pd.DataFrame({"region": [key[0]], "main": [best[0]], "n": [int(pdf["n"].sum())]})
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
