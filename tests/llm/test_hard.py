@@ -97,13 +97,6 @@ def test_crowds_are_exact(spark, docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()} == want
 
 
-def test_hot_keys_are_exact(spark, docs, monkeypatch):
-    want = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()}
-    for name, value in (("HOT", 1), ("BLOCK", 2)):  # all keys are salted, and met block by block
-        monkeypatch.setattr(jaccard, name, value)
-    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()} == want
-
-
 @pytest.mark.parametrize("families,steps,common,again", [(8, 25, 25, True), (40, 5, 0, False)])
 def test_regions_are_cut_again(spark, monkeypatch, families, steps, common, again):
     """Families of sets that drift apart step by step, all in one region: cut more than once where that helps, and exact."""
