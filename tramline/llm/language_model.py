@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .words import texts
+from .words import slices, texts
 
 #: Words whose counts every task holds (the commonest); counts of all others are joined.
 HEAD = 200_000
@@ -28,6 +28,8 @@ LANES, STEPS, RATE, SHARES = 512, 16, 0.08, (1, 3)
 LEARN_CHUNK, SCORE_CHUNK, OUTPUTS = 1 << 19, 1 << 22, 8192
 #: Outputs stay within this of 0, where their exponentials and the sums of them are finite in single precision.
 LARGEST = np.float32(60)
+#: Parameters in one row where tasks' models are averaged.
+BLOCK = 1 << 12
 #: Different words that a task counts before it hands them on.
 COUNTED = 300_000
 #: Model ids of the end of a text and of the first bucket of words without an output of their own; words with one follow
@@ -112,47 +114,55 @@ class Model:
     def outputs(self, h: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None, grad: dict | None = None):
         """Log probability of each target; with `grad`, adds the gradient of the weighted loss and gives that of h."""
         p = self.p
-        cls = self.class_of[target]
-
-        def softmax(x, w, b, own, rows):
-            """Log probability of `own`, and exponentials with their sums."""
+        cls, rows, sums = self.class_of[target], np.arange(len(h)), np.ones(max(len(self.class_of), STATE + 1), np.float32)
+        # a column of ones meets the biases
+        wc, wo = np.vstack([p["wc"], p["bc"]]), np.column_stack([p["wo"], p["bo"]])
+        h = np.column_stack([h, np.ones(len(h), np.float32)])
+        # states lie within -1 and 1, so the weights bound the outputs
+        bounded = max(np.abs(wc).sum(0).max(), (np.abs(wo) @ sums[: STATE + 1]).max()) <= LARGEST
+
+        def softmax(x, w, own, rows):
+            """Log probability of `own`, exponentials and their sums."""
             x = x @ w
-            x += b
-            np.clip(x, -LARGEST, LARGEST, out=x)
+            if not bounded:
+                np.clip(x, -LARGEST, LARGEST, out=x)
             picked = x[rows, own]
             np.exp(x, out=x)
-            total = x.sum(1)
+            total = x @ sums[: x.shape[1]]
             return picked - np.log(total), x, total
 
-        rows = np.arange(len(h))
-        out, x, total = softmax(h, p["wc"], p["bc"], cls, rows)
+        out, x, total = softmax(h, wc, cls, rows)
         dh = None
         if grad is not None:
-            x *= (weight / total)[:, None]
-            x[rows, cls] -= weight
-            grad["wc"] += h.T @ x
-            grad["bc"] += x.sum(0)
+            # x * scale is the gradient of the outputs
+            x[rows, cls] -= total
+            scale = (weight / total)[:, None]
+            both = (h * scale).T @ x
+            grad["wc"] += both[:STATE]
+            grad["bc"] += both[STATE]
             dh = x @ p["wc"].T
+            dh *= scale
         # targets in classes of several words, sorted by class
         ends = np.cumsum(np.bincount(cls, minlength=len(self.bounds) - 1))
         alone = ends[min(FIRST, len(ends)) - 1]
         order = np.argsort(cls, kind="stable")[alone:]
         hs, own, back, gain = h[order], target[order], None, np.zeros(len(order), out.dtype)
         if grad is not None:
-            back, ws = np.zeros_like(hs), weight[order]
+            back, ws = np.zeros((len(order), STATE), np.float32), weight[order]
         for k in range(FIRST, len(self.bounds) - 1):
             a, b = ends[k - 1] - alone, ends[k] - alone
             s, e = self.bounds[k], self.bounds[k + 1]
             if a == b or e - s == 1:
                 continue
             inside, n = own[a:b] - s, rows[: b - a]
-            gain[a:b], x, total = softmax(hs[a:b], p["wo"][s:e].T, p["bo"][s:e], inside, n)
+            gain[a:b], x, total = softmax(hs[a:b], wo[s:e].T, inside, n)
             if grad is not None:
-                x *= (ws[a:b] / total)[:, None]
-                x[n, inside] -= ws[a:b]
-                grad["wo"][s:e] += x.T @ hs[a:b]
-                grad["bo"][s:e] += x.sum(0)
-                back[a:b] = x @ p["wo"][s:e]
+                x[n, inside] -= total
+                scale = (ws[a:b] / total)[:, None]
+                both = x.T @ (hs[a:b] * scale)
+                grad["wo"][s:e] += both[:, :STATE]
+                grad["bo"][s:e] += both[:, STATE]
+                np.multiply(x @ p["wo"][s:e], scale, out=back[a:b])
         out[order] += gain
         if grad is not None:
             dh[order] += back
@@ -178,7 +188,9 @@ class Model:
             for name, x in p.items():
                 g[name] = gradient[i : (i := i + x.size)].reshape(x.shape)
             kept: list = []
-            states, h = self.states(p["e"][before[at]] @ p["w"] + p["b"], carry[at], h, kept)
+            ids = before[at].ravel()
+            embedded = p["e"][ids]
+            states, h = self.states((embedded @ p["w"] + p["b"]).reshape(-1, lanes, 3 * STATE), carry[at], h, kept)
             w = (weight[at] / max(1.0, float(weight[at].sum()))).ravel()
             _, dh = self.outputs(states.reshape(-1, STATE), target[at].ravel(), w, g)
             dh = dh.reshape(states.shape)
@@ -204,9 +216,9 @@ class Model:
                 back *= carry[t + s]
             g["v"] += rhs.reshape(-1, STATE).T @ dx[:, :, 2 * STATE :].reshape(-1, STATE)
             g["u"] += h0s.reshape(-1, STATE).T @ dx[:, :, : 2 * STATE].reshape(-1, 2 * STATE)
-            flat, ids = dx.reshape(-1, 3 * STATE), before[at].ravel()
-            g["b"] += flat.sum(0)
-            g["w"] += p["e"][ids].T @ flat
+            flat = dx.reshape(-1, 3 * STATE)
+            g["b"] += np.ones(len(flat), np.float32) @ flat
+            g["w"] += embedded.T @ flat
             de = flat @ p["w"].T
             order = np.argsort(ids.astype(np.uint16 if len(p["e"]) <= 1 << 16 else np.int32), kind="stable")  # as above, where 16 bits do
             cut = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
@@ -294,7 +306,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     times their smoothed frequency among the words of the bucket. base_score is the
     smoothed frequency of each token.
 
-    Tasks hold the counts of the HEAD commonest words; what other words a document has is joined with their counts by
+    Texts become model ids once, in a written table that learning and scoring read. Tasks hold the counts of the HEAD commonest words; what other words a document has is joined with their counts by
     64-bit hash, so the vocabulary may be of any size. Null and empty texts are one end; each row is scored alone, also
     with null or repeated ids; a document of any length keeps its state throughout; an empty table gives no rows; with
     nothing to learn from all counts are zero. Other columns aren't read.
@@ -302,6 +314,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     sc = spark.sparkContext
     read = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
+    read = read.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(sum(SHARES))).cast("int"))
     lessons = read.where(~F.col("held_out"))
 
     def count(batches):
@@ -369,19 +382,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rank, hashed, np.append(model_ids, np.int32(END))
 
     key = hash((sc.applicationId, id(head), uuid.uuid4().hex))
+    base_total, ends_log, kind = math.log10(n_all + n_distinct + 1), math.log10(ends + 1), np.uint16 if len(weights) <= 1 << 16 else np.int32
+
+    def encode(batches):
+        ranks, row, log_count = places(head, key), TaskContext.get().partitionId() << 33, head.value[1]
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            rows = []
+            for text in texts(batch.column(2)):
+                rank, hashed, model_ids = read_ids(text, ranks)
+                logs, size = log_count[rank], len(rank) + 1
+                rows.append((size, len(rank) - len(hashed) + (ends > 0), float(logs.sum()) + ends_log - size * base_total, float(logs[rank >= modelled].sum() - within[model_ids].sum()), model_ids.astype(kind).tobytes(), hashed.tobytes() if more else b""))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(rows)), pa.int64()), *(batch.column(k) for k in (0, 1, 3)), *cols], ["row", "id", "held_out", "part", "n_tokens", "n_known", "base_score", "score", "ids", "others"])
+            row += len(rows)
 
-    def table() -> dict[bytes, int]:
-        return places(head, key)
+    told = "row long, id long, held_out boolean, {}n_tokens long, n_known long, base_score double, score double"
+    encoded = written(read.mapInArrow(encode, told.format("part int, ") + ", ids binary, others binary"), "encoded")
 
     def taught(flat: np.ndarray):
         shared = sc.broadcast(flat)
 
         def run(batches):
-            ranks, model = table(), Model(weights, shared.value.copy())
+            model = Model(weights, shared.value.copy())
             squares, held, n, seen = np.full(model.size, 1e-4, np.float32), [], 0, 0
             for batch in batches:
-                for text in texts(batch.column(0)):
-                    held.append(read_ids(text, ranks)[2])
+                for ids in batch.column(0).to_pylist():
+                    held.append(np.frombuffer(ids, kind))
                     n += len(held[-1])
                     if n >= LEARN_CHUNK:
                         model.learn(np.concatenate(held), starts(held), squares)
@@ -389,57 +416,59 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if held:
                 model.learn(np.concatenate(held), starts(held), squares)
             if seen + n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(model.size, dtype=np.int32)), pa.array(model.flat.astype(np.float64) * (seen + n)), pa.array(np.full(model.size, float(seen + n)))], ["at", "x", "w"])
+                x = model.flat.astype(np.float64) * (seen + n)
+                blocks = range(0, model.size, BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([x[k : k + BLOCK].tobytes() for k in blocks], pa.binary()), pa.array([float(seen + n)] * len(blocks))], ["at", "x", "w"])
 
         return run
 
+    def averaged(batches):
+        """Blocks of parameters, weighted by tokens: sums of all tasks that sent one, over their weights."""
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for at, x, w in zip(*(batch.column(c).to_pylist() for c in ("at", "x", "w")), strict=True):
+                held = sums.setdefault(at, [0.0, 0.0])
+                held[0] = held[0] + np.frombuffer(x)
+                held[1] += w
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([(x / w).astype(np.float32).tobytes() for x, w in sums.values()], pa.binary())], ["at", "x"])
+
     flat = Model(weights).start(weights).flat
     low = 0
     for share in SHARES if n_all else ():
-        part = F.pmod(F.xxhash64("id", "text"), F.lit(sum(SHARES)))
-        own = lessons.where((part >= low) & (part < low + share)).select("text")
+        own = encoded.where(~F.col("held_out") & (F.col("part") >= low) & (F.col("part") < low + share)).select("ids")
         low += share
-        mean = own.mapInArrow(taught(flat), "at int, x double, w double").groupBy("at").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
+        mean = own.mapInArrow(taught(flat), "at int, x binary, w double").repartition("at").mapInArrow(averaged, "at int, x binary").toArrow()
         if mean.num_rows:
-            flat = np.empty(mean.num_rows, np.float32)
-            flat[mean.column("at").to_numpy()] = mean.column("x").to_numpy()
+            flat = flat.copy()
+            for at, x in zip(mean.column("at").to_pylist(), mean.column("x").to_pylist(), strict=True):
+                flat[at : at + BLOCK] = np.frombuffer(x, np.float32)
     shared = sc.broadcast(flat)
 
-    base_total, ends_log = math.log10(n_all + n_distinct + 1), math.log10(ends + 1)
-
     def score(batches):
-        ranks, model, row = table(), Model(weights, shared.value), TaskContext.get().partitionId() << 33
-        log_count = head.value[1]
-
-        def out(rows, tokens):
-            nonlocal row
-            scores = model.score(tokens)
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(rows))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64()), pa.array(np.array(cols[5]) + scores / math.log(10)), pa.array(cols[6], pa.binary())],
-                ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "others"],
-            )
-            row += len(rows)
+        model = Model(weights, shared.value)
 
-        rows, tokens, n = [], [], 0
+        def out(held, tokens):
+            scores, at = model.score(tokens) / math.log(10), 0
+            for rows in held:
+                own = rows.column(rows.num_columns - 1).to_numpy() + scores[at : (at := at + rows.num_rows)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(own)], rows.schema.names)
+
+        held, tokens, n = [], [], 0
         for batch in batches:
-            for i, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
-                rank, hashed, model_ids = read_ids(text, ranks)
-                logs, size = log_count[rank], len(rank) + 1
-                rows.append((i, held, size, len(rank) - len(hashed) + (ends > 0), float(logs.sum()) + ends_log - size * base_total, float(logs[rank >= modelled].sum() - within[model_ids].sum()), hashed.tobytes() if more else b""))
-                tokens.append(model_ids)
-                n += size
-                if n >= SCORE_CHUNK:
-                    yield from out(rows, tokens)
-                    rows, tokens, n = [], [], 0
-        if rows:
-            yield from out(rows, tokens)
-
-    scored = read.mapInArrow(score, "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, others binary")
+            fresh = [np.frombuffer(x, kind) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            held.append(batch.select(batch.schema.names[:-1]))
+            tokens += fresh
+            n += sum(map(len, fresh))
+            if n >= SCORE_CHUNK:
+                yield from out(held, tokens)
+                held, tokens, n = [], [], 0
+        if tokens:
+            yield from out(held, tokens)
+
+    scored = encoded.drop("part", "others").mapInArrow(score, told.format(""))
     names = [F.col("id").alias(id_col), "held_out", "n_tokens"]
     if not more:
         return scored.select(*names, "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
-    scored = written(scored, "scored")
 
     def unpack(batches):
         for batch in batches:
@@ -449,9 +478,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # words beyond the commonest have their counts joined
     beyond = counts.where(~common)
     beyond = beyond.select(F.xxhash64("word").alias("key"), F.log10(F.col("n") + 1).alias("log")).groupBy("key").agg(F.max("log").alias("log"))
-    found = scored.select("row", "others").where(F.length("others") > 0).mapInArrow(unpack, "row long, key long")
+    found = encoded.select("row", "others").where(F.length("others") > 0).mapInArrow(unpack, "row long, key long")
     added = found.join(beyond, "key").groupBy("row").agg(F.sum("log").alias("log"), F.count(F.lit(1)).alias("known"))
-    out = scored.drop("others").join(added, "row", "left")
+    out = scored.join(added, "row", "left")
     log = F.coalesce("log", F.lit(0.0))
     return out.select(*names, (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + log).alias("base_score"), (F.col("score") + log).alias("score"))
 
