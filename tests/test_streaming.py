@@ -29,6 +29,17 @@ def test_token_bucket(spark, source, tmp_path):
     assert got == want
 
 
+def test_token_bucket_of_many_frames(spark, source, tmp_path):
+    rows = [(k, t) for t in range(9000, 0, -700) for k in ("a", "b")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = sorted(tuple(r) for r in run(stateful.token_bucket(source(rows, "key string, ts_ms long"), "key", 2, 1 / 1000), "append", tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = state.token_bucket(spark.createDataFrame(rows, "key string, ts_ms long"), "key", 2, 1 / 1000, ["ts_ms"]).select("key", "ts_ms", "allowed", "remaining")
+    assert got == sorted(tuple(r) for r in want.collect())
+
+
 def test_queue_and_counts(spark, source, tmp_path):
     got = run(stateful.bounded_queue(source([("q", i, 4, f"m{i}") for i in range(6)], "q string, seq long, size long, message string"), "q", 4, 13), "update", tmp_path)
     assert [(r.held, r.oldest, r.dropped) for r in got] == [(3, 3, 3)]
