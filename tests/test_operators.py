@@ -236,3 +236,23 @@ def test_error_statuses(spark):
     want = {"wamp.error.no_such_subscription": 502, "wamp.error.option_not_allowed": 400, "wamp.error.procedure_already_exists": 400, "tramline.error.bad_gateway": 503, "tramline.error.timeout": 504, "wamp.error.not_authorized": 401, "wamp.error.authorization_failed": 403, "wamp.close.close_realm": 500}
     got = spark.createDataFrame([(u,) for u in want], "u string").select("u", scalars.error_status(F.col("u")).alias("s")).collect()
     assert {r.u: r.s for r in got} == want
+
+
+def build_sides(plan):
+    """The sides that a plan's joins broadcast, as the nodes in them."""
+    nodes = lambda p: [p.nodeName(), *(n for i in range(p.children().size()) for n in nodes(p.children().apply(i)))]
+    mine = [nodes(plan.left() if str(plan.buildSide()) == "BuildLeft" else plan.right())] if "BroadcastHashJoin" in plan.nodeName() else []
+    return mine + [n for i in range(plan.children().size()) for n in build_sides(plan.children().apply(i))]
+
+
+def test_authorized_broadcasts_no_requests(spark, tmp_path):
+    spark.createDataFrame([("r", f"u{i}") for i in range(50)], "realm string, username string").write.parquet(str(tmp_path / "users"))
+    users = spark.read.parquet(str(tmp_path / "users"))
+    both = lambda x: F.explode(F.array(*map(F.lit, x)))
+    requests = users.select("*", both(["call", "publish"]).alias("permission")).select("*", both(["com.a", "com.b.c", "org"]).alias("resource"))
+    held = [("r", "u1", "com", "prefix", "call"), ("r", "u1", "com", "prefix", "call"), ("r", "u2", "com..c", "wildcard", "publish"), ("r", "u3", "org", "exact", "call")]
+    grants = spark.createDataFrame(held, "realm string, username string, uri string, policy string, permission string")
+    out = access.authorized(requests.unionAll(requests), grants)
+    allowed = [(r.username, r.permission, r.resource) for r in out.where("allowed").collect()]
+    assert sorted(allowed) == sorted(2 * [("u1", "call", "com.a"), ("u1", "call", "com.b.c"), ("u2", "publish", "com.b.c"), ("u3", "call", "org")]) and out.count() == 600
+    assert not any("Generate" in n for side in build_sides(out._jdf.queryExecution().sparkPlan()) for n in side)
